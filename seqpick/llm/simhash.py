@@ -106,35 +106,33 @@ def gray_rank(code: Column) -> Column:
 
 
 class GrayIndex:
-    """Codes in Gray order under nodes of shared bits. Level 0: leaves of LEAF codes; each level above joins FAN nodes."""
+    """Codes (rows of 64-bit words) in Gray order under nodes of shared bits. Level 0: leaves of LEAF codes; each level above joins FAN nodes."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         starts = np.arange(0, len(codes), LEAF)
         every, some = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
         self.levels = [(every, ~(every ^ some))]
-        ors = some
         while len(self.levels[-1][0]) > 1:
-            starts = np.arange(0, len(ors), FAN)
-            every, ors = np.bitwise_and.reduceat(self.levels[-1][0], starts), np.bitwise_or.reduceat(ors, starts)
-            self.levels.append((every, ~(every ^ ors)))
+            starts = np.arange(0, len(some), FAN)
+            every, some = np.bitwise_and.reduceat(self.levels[-1][0], starts), np.bitwise_or.reduceat(some, starts)
+            self.levels.append((every, ~(every ^ some)))
 
     def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, code), as indexes, that differ in at most ``radius`` bits."""
         q = np.arange(len(queries))
-        node, gone, seen = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros(len(q), np.uint64)
+        node, gone, seen = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros_like(queries)
         for k in range(len(self.levels) - 1, -1, -1):
             value, shared = self.levels[k]
-            gone = gone + np.bitwise_count((queries[q] ^ value[node]) & shared[node] & ~seen)
+            gone = gone + np.bitwise_count((queries[q] ^ value[node]) & shared[node] & ~seen).sum(1, dtype=np.int64)
             keep = gone <= radius
             q, node, gone = q[keep], node[keep], gone[keep]
             seen = shared[node]
             size, below = (FAN, len(self.levels[k - 1][0])) if k else (LEAF, len(self.codes))
             child = (node[:, None] * size + np.arange(size)).ravel()
-            ok = child < below
-            q, gone, seen, node = *(np.repeat(x, size)[ok] for x in (q, gone, seen)), child[ok]
-        far = np.bitwise_count(queries[q] ^ self.codes[node])
-        keep = far <= radius
+            up = np.repeat(np.arange(len(node)), size)[child < below]
+            q, gone, seen, node = q[up], gone[up], seen[up], child[child < below]
+        keep = np.bitwise_count(queries[q] ^ self.codes[node]).sum(1, dtype=np.int64) <= radius
         return q[keep], node[keep]
 
 
@@ -155,7 +153,7 @@ def _contract(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def run_stars(codes: np.ndarray, nodes: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, least node of its part) within each run of equal ``run``; codes in Gray order inside a run."""
+    """Edges (node, least node of its part) within each run of equal ``run``; codes (rows of words) in Gray order inside a run."""
     n = len(codes)
     label = np.arange(n)
     bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
@@ -163,13 +161,14 @@ def run_stars(codes: np.ndarray, nodes: np.ndarray, run: np.ndarray, radius: int
     small = np.repeat(sizes <= LEAF, sizes)
     for step in range(1, min(LEAF, int(sizes[sizes <= LEAF].max(initial=1)))):
         i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
-        i = i[np.bitwise_count(codes[i] ^ codes[i + step]) <= radius]
+        i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(1, dtype=np.int64) <= radius]
         _contract(label, i, i + step)
     for k in np.flatnonzero(sizes > LEAF):
         a, b = bounds[k], bounds[k + 1]
         index = GrayIndex(codes[a:b])
-        for at in range(a, b, QUERIES):
-            q, c = index.near(codes[at : min(at + QUERIES, b)], radius)
+        block = max(64, min(QUERIES, (1 << 22) // (b - a)))
+        for at in range(a, b, block):
+            q, c = index.near(codes[at : min(at + block, b)], radius)
             _contract(label, q + at, c + a)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, nodes)
@@ -184,7 +183,12 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     ``classes`` has one row for each distinct fingerprint: fp long, node long.
     """
     dealt = classes.where("node is not null").select("fp", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)))).alias("pair", "bits"))
-    dealt = dealt.repartition("pair", "bits").sortWithinPartitions("pair", "bits", gray_rank(F.col("fp"))).select("pair", "bits", "fp", "node")
+    return _stars(dealt.select("pair", "bits", "node", F.col("fp").alias("c0")), 1, radius)
+
+
+def _stars(dealt: DataFrame, width: int, radius: int) -> DataFrame:
+    """(a, b): star edges of the parts within every run of equal (pair, bits). ``dealt``: pair, bits, node, c0, c1 …; all longs."""
+    dealt = dealt.repartition("pair", "bits").sortWithinPartitions("pair", "bits", gray_rank(F.col("c0")))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +198,14 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
             change = np.r_[True, (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])]
             run = np.cumsum(change)
             many = np.bincount(run)[run] > 1
-            a, b = run_stars(p[2, many].view(np.uint64), p[3, many], run[many], radius)
+            codes = np.ascontiguousarray(p[3:, many].T).view(np.uint64)
+            a, b = run_stars(codes, p[2, many], run[many], radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            p = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + width)])
             last = np.flatnonzero((p[0] != p[0, -1]) | (p[1] != p[1, -1]))
             cut = last[-1] + 1 if len(last) else 0
             same = kept and kept[-1][0, -1] == p[0, 0] and kept[-1][1, -1] == p[1, 0]
@@ -255,5 +260,81 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
     return named.unionByName(left.where(F.col(id_col).isNull()))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return group(docs, id_col, text_col, words=5, radius=3)
+#: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint, rows of a bin's shingle that come together.
+BINS, WIDE, HOT_RUN = 8, 4, 20_000
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE, slack: float = 1.5) -> int:
+    """Bits that two texts with this share of common shingles differ in, and ``slack`` standard deviations more.
+
+    Two sets of a size with Jaccard similarity s have the cosine 2s / (1 + s), and a bit differs with probability angle / pi.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p))))
+
+
+def _remix(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of a hash."""
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bins: int = BINS, width: int = WIDE) -> DataFrame:
+    """(id, code array<long>, keys array<long>): a fingerprint of ``width`` words, and the least shingle hash of each bin (null: empty bin)."""
+    schema = pa.schema([("id", pa.int64()), ("code", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, "text", SLICE):
+            each = [shingle_hashes(t, words) for t in texts]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
+            codes = np.stack([majority(_remix(flat, k) if k else flat, sizes) for k in range(width)], 1).view(np.int64)
+            least = np.full((len(each), bins), np.iinfo(np.uint64).max, np.uint64)
+            full = np.flatnonzero(sizes)
+            if len(full):
+                order, starts = _remix(flat, width), (np.cumsum(sizes) - sizes)[full]
+                for b in range(bins):
+                    least[full, b] = np.minimum.reduceat(np.where(order % np.uint64(bins) == b, order, np.iinfo(np.uint64).max), starts)
+            none = (least == np.iinfo(np.uint64).max).ravel()
+            at = np.arange(len(each) + 1)
+            lists = [pa.ListArray.from_arrays((at * k).astype(np.int32), v) for k, v in ((width, pa.array(codes.ravel())), (bins, pa.array(least.view(np.int64).ravel(), mask=none)))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, code array<long>, keys array<long>")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot_run: int = HOT_RUN) -> DataFrame:
+    """(id, component): groups of texts whose shingle sets are ``similarity`` alike or more, by wide fingerprints.
+
+    One fingerprint of 64 bits can't tell such texts: at 0.8 they differ in ten bits, too many for blocks of equal bits. So
+    the fingerprints have 256 bits, and what is factored out in the top nodes is a shared shingle instead: texts meet where the least
+    shingle of one of BINS bins is the same (at 0.8 they miss all with probability 0.2^8). Below it is the index of codes in Gray order.
+    A shingle that over ``hot_run`` distinct codes share is dealt again with each other bin's, until the runs are smaller.
+    """
+    radius = wide_radius(similarity)
+    rows = stage_table(sketches(docs, id_col, text_col, words), "sketches")
+    classes = stage_table(rows.groupBy("code").agg(F.min("id").alias("node"), F.max("keys").alias("keys")), "classes")
+    base = classes.where("node is not null").select("node", "code", "keys", F.posexplode("keys").alias("pair", "bits")).where("bits is not null")
+    code = [F.col("code")[i].alias(f"c{i}") for i in range(WIDE)]
+    dealt, used = [], 1
+    while True:
+        hot = base.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_run).select("pair", "bits")
+        if used == BINS or not hot.take(1):
+            dealt.append(base)
+            break
+        hot = stage_table(hot, "hot")
+        dealt.append(base.join(hot, ["pair", "bits"], "left_anti"))
+        again = base.join(hot, ["pair", "bits"], "left_semi").select("node", "code", "keys", "pair", "bits", F.posexplode("keys").alias("other", "more"))
+        # pairs of bins are named by their numbers, one digit for each bin already shared
+        fresh = (F.col("more").isNotNull()) & ~F.contains(F.lpad(F.col("pair").cast("string"), used, "0"), F.col("other").cast("string"))
+        base = stage_table(again.where(fresh).select("node", "code", "keys", (F.col("pair") * 10 + F.col("other")).alias("pair"), F.xxhash64("bits", "more").alias("bits")), "dealt-again")
+        used += 1
+    edges = None
+    for k, d in enumerate(dealt):
+        part = _stars(d.select((F.col("pair").cast("long") + k * 10**9).alias("pair"), "bits", "node", *code), WIDE, radius)
+        edges = part if edges is None else edges.unionByName(part)
+    parts = components(edges)
+    named = classes.join(parts, "node", "left").select("code", F.coalesce("component", "node").alias("component"))
+    return rows.select("id", "code").join(named, "code").select("id", "component")
