@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, without
 
-BLOCKS, BLOCK_ROWS = 8192, 16384
+BLOCKS, BLOCK_ROWS = 8192, 1024
 CELL = 32768
 #: A prime above any shard's rows that are dealt by one seed; odd strides are taken from it.
 STRIDE = 2_147_483_647
