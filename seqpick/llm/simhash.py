@@ -262,6 +262,8 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
 
 #: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint, rows of a bin's shingle that come together.
 BINS, WIDE, HOT_RUN = 8, 4, 20_000
+#: Bins that texts must share at most to meet: at similarity 0.8 three of eight are shared with probability 0.9988.
+SHARED = 3
 
 
 def wide_radius(similarity: float, bits: int = 64 * WIDE, slack: float = 1.5) -> int:
@@ -311,7 +313,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One fingerprint of 64 bits can't tell such texts: at 0.8 they differ in ten bits, too many for blocks of equal bits. So
     the fingerprints have 256 bits, and what is factored out in the top nodes is a shared shingle instead: texts meet where the least
     shingle of one of BINS bins is the same (at 0.8 they miss all with probability 0.2^8). Below it is the index of codes in Gray order.
-    A shingle that over ``hot_run`` distinct codes share is dealt again with each other bin's, until the runs are smaller.
+    A shingle that over ``hot_run`` distinct codes share (a line that many texts have) is dealt again with each other bin's, up to
+    SHARED bins in all; what is still more are copies of one text, which the index takes together.
     """
     radius = wide_radius(similarity)
     rows = stage_table(sketches(docs, id_col, text_col, words), "sketches")
@@ -321,7 +324,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt, used = [], 1
     while True:
         hot = base.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_run).select("pair", "bits")
-        if used == BINS or not hot.take(1):
+        if used == SHARED or not hot.take(1):
             dealt.append(base)
             break
         hot = stage_table(hot, "hot")

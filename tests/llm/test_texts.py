@@ -1,0 +1,363 @@
+"""Decontamination, near duplicates, passages, PII, URLs and chats against brute force, and on awkward rows."""
+
+import hashlib
+import itertools
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from seqpick.llm import chat, decontam, pii, simhash, suffix, urltrees
+
+LOW = {c: c + 32 for c in range(65, 91)}
+
+
+def word_list(rng, n, vocab=400):
+    return [f"w{i}" for i in rng.integers(0, vocab, n)]
+
+
+# --- decontamination
+
+
+def brute_scan(text, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    w, hit, ids = split(text), set(), set()
+    for k, t in items:
+        v = split(t)
+        n = min(10, len(v))
+        for g in {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else ():
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) == g:
+                    hit.update(range(i, i + n))
+                    ids |= {str(k)} if k is not None else set()
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block", [16 << 20, 300])
+def test_scan_against_brute_force(spark, block):
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(word_list(rng, int(n), 30))) for i, n in enumerate((30, 10, 12, 3, 1, 25))] + [(9, None), (10, "..."), (11, "W1 w2"), (None, "w28 w29"), (3, "w0 w0")]
+    docs = [(i, " ".join(word_list(rng, int(n), 30)), "x") for i, n in enumerate(rng.integers(0, 120, 60))]
+    docs += [(100, None, None), (101, "", ""), (102, f"É, {items[0][1].upper()}!{items[0][1]}", "x"), (103, "q " * 50000 + items[1][1], "x"), (None, items[2][1], "x"), (102, "dup", "x")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, n_hit string")
+    got = decontam.scan(df, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block)
+    assert got.columns == ["doc_id", "text", *decontam.RESULT]
+    have = sorted(((r.text or "\0" if r.text is None else r.text, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()), key=repr)
+    want = sorted(((t or "\0" if t is None else t, *brute_scan(t, items)) for _, t, _ in docs), key=repr)
+    assert have == want
+
+
+def test_scan_of_empty_tables(spark):
+    docs, none = spark.createDataFrame([(1, "a")], "doc_id int, text string"), spark.createDataFrame([], "item_id int, text string")
+    assert decontam.scan(docs, none).first().contaminated is False
+    assert decontam.scan(docs.limit(0), none).count() == 0
+
+
+# --- near duplicates
+
+
+def brute_fp(text, k):
+    w = (text or "").translate(LOW).encode().split()
+    sh = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def near_texts():
+    rng = np.random.default_rng(4)
+    base = [word_list(rng, 300, 5000) for _ in range(12)]
+    docs = []
+    for b in base:
+        for edits in (0, 0, 1, 1, 2, 4):
+            w = list(b)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = "changed"
+            docs.append(" ".join(w))
+    return docs + [None, "", " \n", "one", "one two", "One TWO", "a b c", "x " * 40000]
+
+
+def test_groups_against_brute_force(spark):
+    docs = near_texts()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)] + [(None, docs[0], "x"), (0, docs[0], "x")], "doc_id bigint, text string, fp string")
+    fps = [brute_fp(t, 3) for t in docs]
+    label = list(range(len(docs)))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(range(len(docs)), 2):
+            if bin(fps[a] ^ fps[b]).count("1") <= 2 and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    got = simhash.group(df).select("id", simhash.hex_digits(F.col("fp")).alias("x"), "component").collect()
+    assert len(got) == len(docs) + 2
+    for r in got:
+        i = 0 if r.id is None else r.id
+        assert (r.x, r.component) == (f"{fps[i]:016x}", label[i])
+    assert len(set(label)) < len(docs) - 20
+    assert simhash.group(df.limit(0)).count() == 0
+
+
+def test_index_and_runs_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for width, radius in ((1, 2), (4, 9)):
+        seeds = rng.integers(0, 2**63, (6, width), dtype=np.uint64)
+        codes = np.repeat(seeds, 90, axis=0)
+        for _ in range(radius // 2 + 1):
+            codes[np.arange(len(codes)), rng.integers(0, width, len(codes))] ^= np.uint64(1) << rng.integers(0, 64, len(codes)).astype(np.uint64)
+        codes = np.unique(codes, axis=0)
+        close = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2) <= radius
+        q, c = simhash.GrayIndex(codes).near(codes, radius)
+        assert set(zip(q.tolist(), c.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+        a, b = simhash.run_stars(codes, np.arange(len(codes)), np.zeros(len(codes), int), radius)
+        label = np.arange(len(codes))
+        simhash._contract(label, *np.nonzero(close))
+        got = np.arange(len(codes))
+        got[a] = b
+        assert (got == label).all()
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (5, 5)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100}
+
+
+@pytest.mark.parametrize("hot", [20_000, 8])
+def test_near_groups_by_similarity(spark, hot):
+    rng = np.random.default_rng(6)
+    docs, group = [], []
+    shared = " ".join(word_list(rng, 12, 9))
+    for g in range(15):
+        b = word_list(rng, 250, 8000)
+        for edits in (0, 3, 3, 4):
+            w = list(b)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = "changed"
+            docs.append(" ".join(w) + " " + shared)
+            group.append(g)
+    docs += [None, "", "alone in the world"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {r.id: r.component for r in simhash.near_groups(df, hot_run=hot).collect()}
+    assert len({got[i] for i, g in enumerate(group)}) == 15 and all(got[i] // 4 == g for i, g in enumerate(group))
+    assert got[60] == got[61] == 60 and got[62] == 62
+    kept = simhash.keep_one(df, simhash.near_groups(df))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 60, 4), 60, 62]
+
+
+def test_keep_one_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id bigint, text string")
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(df, simhash.near_groups(df)).collect()) == ["1", "None"]
+
+
+# --- passages
+
+
+def brute_passages(rows, length):
+    rows = [(i, t) for i, t in rows if i is not None]
+    first, copies = {}, defaultdict(int)
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        first.setdefault(t, i)
+        copies[t] += 1
+    at = defaultdict(set)
+    for t, i in first.items():
+        w = (t or "").encode().split()
+        for k in range(len(w) - length + 1):
+            at[tuple(w[k : k + length])].add((t, i, k))
+    rep, gone = defaultdict(set), defaultdict(set)
+    for occ in at.values():
+        if len({t for t, _, _ in occ}) > 1:
+            least = min(i for _, i, _ in occ)
+            for t, i, k in occ:
+                rep[t].update(range(k, k + length))
+                if i != least:
+                    gone[t].update(range(k, k + length))
+    out = []
+    for i, t in rows:
+        n = len((t or "").split())
+        copy = copies[t] > 1 and n >= length
+        out.append((i, n, n if copy else len(rep[t]), n if copy and i != first[t] else len(gone[t])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [200_000, 1])
+def test_passages_against_brute_force(spark, hot):
+    rng = np.random.default_rng(9)
+    share = [word_list(rng, n, 2000) for n in (60, 55, 50, 49, 120)]
+    rows = []
+    for i in range(60):
+        w = word_list(rng, int(rng.integers(10, 200)), 2000)
+        for k in rng.choice(5, int(rng.integers(0, 3)), replace=False):
+            cut = int(rng.integers(0, 12)) if i % 3 else 0
+            at = int(rng.integers(0, len(w)))
+            w[at:at] = share[k][cut:]
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, None), (203, ""), (204, "eron, " * 3000), (205, "eron, " * 900 + "end"), (206, " ".join(share[0][:30] + share[1][:30])), (None, rows[4][1])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, spans string")
+    got = sorted((r.doc_id, r.n_words, r.n_repeated, r.n_removed) for r in suffix.passages(df, hot_rows=hot).collect() if r.doc_id is not None)
+    assert got == brute_passages(rows, 50)
+    if hot > 1:
+        stripped = suffix.strip(df, suffix.passages(df))
+        n = {r.doc_id: len((r.text or "").split()) for r in stripped.where("doc_id is not null").collect()}
+        assert all(n[i] == words - gone for i, words, _, gone in got)
+
+
+def test_minimisers_cover_every_window():
+    h = np.random.default_rng(0).integers(0, 50, 500).astype(np.uint64)
+    at = set(suffix.minimisers(h, 31).tolist())
+    for i in range(500 - 30):
+        assert any(k in at for k in range(i, i + 31) if h[k] == h[i : i + 31].min())
+    assert suffix.minimisers(h[:5], 31).tolist() == []
+
+
+def test_passages_of_nothing(spark):
+    assert suffix.passages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+# --- PII
+
+TEXT = "mail hein.19@mail5.example.com, +1 (743) 555-3824%% card 4785 3805 9239 1139; 4785380592391139 ip 152.143.123.131 on 2024-02-29 or 31/12/1999 or 12.31.1999, 123-45-6789, DE89 3704 0044 0532 0130 00 token = \"7c72db563d7f6e50cec00950f7bab1f2223b6afd\" é"
+PLAIN = "plain text, 1234567890123456 and 999.1.2.3 and 2024-13-45 and 000-12-3456 and a@b and 17 words"
+
+
+def test_feistel_permutes_any_size():
+    f = pii.Feistel(b"k")
+    for n in (1, 2, 3, 10, 97, 256):
+        assert sorted(f.move(i, n, b"t") for i in range(n)) == list(range(n))
+        assert all(f.move(f.move(i, n, b"t"), n, b"t", True) == i for i in range(n))
+    big = 10**30 + 7
+    assert f.move(f.move(12345, big, b"t"), big, b"t", True) == 12345 != f.move(12345, big, b"t")
+
+
+def test_pseudonyms_keep_format_and_validity():
+    out, kinds = pii.pseudonyms(TEXT.encode(), pii.Feistel(b"k"))
+    s = out.decode()
+    assert sorted(kinds) == ["card", "card", "date", "date", "date", "email", "iban", "ip", "phone", "secret", "ssn"]
+    shape = lambda t: re.sub(r"\d+(?:\.\d+){3}", "IP", re.sub("[a-f0-9]{40}", "HEX", t))
+    assert re.sub(r"[a-z]", "a", re.sub(r"\d", "0", shape(s))) == re.sub(r"[a-z]", "a", re.sub(r"\d", "0", shape(TEXT)))
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"\b\d{4} ?\d{4} ?\d{4} ?\d{4}\b", s)]
+    assert len(set(cards)) == 1 and pii.luhn(cards[0][:-1].encode()) == int(cards[0][-1]) and cards[0] != "4785380592391139"
+    iban = re.search(r"DE[\d ]+", s).group().replace(" ", "")[:22]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    for v in ("hein.19", "152.143.123.131", "555-3824", "123-45-6789", "7c72db56"):
+        assert v not in s
+    assert pii.restore(out, b"k").decode() == TEXT
+    assert pii.pseudonyms(PLAIN.encode(), pii.Feistel(b"k")) == (PLAIN.encode(), [])
+
+
+def test_equal_values_stay_linked_and_keys_differ():
+    a, b = pii.Feistel(b"a"), pii.Feistel(b"b")
+    one = pii.pseudonyms(b"x 152.143.123.131 y", a)[0].split()[1]
+    assert pii.pseudonyms(b"152.143.123.131", a)[0] == one != pii.pseudonyms(b"152.143.123.131", b)[0]
+
+
+def test_dates_restore_over_the_calendar():
+    f = pii.Feistel(b"z")
+    for t in (b"1900-01-01", b"2099-12-31", b"29/02/2000", b"01.02.2003", b"12/31/2020"):
+        out, kinds = pii.pseudonyms(t, f)
+        assert kinds == ["date"] and pii.restore(out, b"z") == t
+
+
+def test_pseudonymise_rows(spark):
+    rows = [(1, TEXT, "k"), (1, TEXT, "k"), (2, None, None), (3, "", ""), (None, PLAIN, "x"), (4, "a" * 300000 + " 152.143.123.131", "x")]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string, kinds string")).collect()
+    assert [r.n_values for r in got] == [11, 11, 0, 0, 0, 1] and got[2].clean_text is None and got[3].clean_text == "" and got[0].clean_text == got[1].clean_text
+
+
+# --- URLs
+
+
+@pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
+    ("http://WWW.Example.NET/en/x?q=/de/", "www.example.net", "/en/x", "example.net/en/", "allow"), ("https://a.b.net/de/", "a.b.net", "/de/", "net/", "block"),
+    ("https://example.com/de/1#x", "example.com", "/de/1", "example.com/de/", "block"), ("https://notexample.com/de/1", "notexample.com", "/de/1", None, None),
+    ("ftp://x.org/fr/a://b/c", "x.org", "/fr/a://b/c", "org/fr/", "allow"), ("no scheme.net/", "", "", None, None), (None, "", "", None, None),
+    ("http://x.net?a", "x.net", "", None, None), ("http://", "", "", None, None), ("://y.net/", "y.net", "/", "net/", "block")])
+def test_urls(spark, url, host, path, rule, verdict):
+    r = urltrees.judge(spark.createDataFrame([(1, url, "own")], "page_id int, url string, Verdict string")).first()
+    assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+
+
+def test_trees_learn_labelled_urls(spark):
+    rows = [(i, f"https://h{i}.example.io/{'win-cash-now' if i % 2 else 'article'}/{i}" + ("?a=1&b=2&c=3&d=4" if i % 2 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    labelled = df.where("page_id < 200").select("url", (F.col("page_id") % 2).cast("int").alias("label"))
+    got = urltrees.judge(df, labelled=labelled).where("page_id >= 200").collect()
+    assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) >= 190
+
+
+def test_urls_of_empty_table(spark):
+    assert urltrees.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
+
+
+# --- chats
+
+
+def brute_repair(roles):
+    """All ways, by depth-first search."""
+    best = [float("inf")]
+
+    def go(i, s, cost):
+        if cost >= best[0]:
+            return
+        if i == len(roles):
+            best[0] = min(best[0], cost + chat.INSERT * len(chat.CLOSING[s]))
+            return
+        r = roles[i]
+        for to in (1, 2, 3):
+            c = 0 if r == to else chat.RELABEL if r or to > 1 else 2 * chat.RELABEL
+            if to == s:
+                go(i + 1, to, cost + c + chat.MERGE)
+            if (s, to) in chat.GAPS:
+                go(i + 1, to, cost + c + chat.INSERT * len(chat.GAPS[s, to]))
+
+    go(0, 0, 0.0)
+    return best[0]
+
+
+def cost_of(roles, way, last):
+    total = chat.INSERT * len(chat.CLOSING[last])
+    for r, (s, a, p) in zip(roles, way, strict=True):
+        total += 0 if r == s else chat.RELABEL if r or s > 1 else 2 * chat.RELABEL
+        total += chat.MERGE if a == "merge" else chat.INSERT * len(chat.GAPS[p, s])
+    return total
+
+
+def test_repair_is_cheapest():
+    for n in range(6):
+        for roles in itertools.product(range(4), repeat=n):
+            way, last = chat.repair(list(roles))
+            want = brute_repair(roles)
+            assert cost_of(roles, way, last) == want
+            m = chat.total(list(roles))
+            assert (m[0] + chat.CLOSE_COST).min() == want
+
+
+LEGAL = re.compile(r"(S?)(UA)*")
+
+
+def legal(text):
+    return LEGAL.fullmatch("".join({"system": "S", "user": "U", "assistant": "A"}[r] for r in re.findall(r"<\|(system|user|assistant)\|>\n", text)))
+
+
+def test_format_chats(spark):
+    rng = np.random.default_rng(1)
+    names = ["system", "user", "assistant", "HUMAN", " gpt ", "tool", None]
+    rows = [(c, t, names[rng.integers(0, 7)], f"t{c}.{t}") for c in range(30) for t in range(int(rng.integers(1, 9)))]
+    rows += [(77, t, ["user", "assistant", "assistant", "system"][rng.integers(0, 4)], f"hot{t}") for t in range(600)]
+    rows += [(90, 1, "user", None), (90, 1, "user", None), (91, None, "assistant", ""), (None, 1, "user", "x")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, place string").repartition(7)
+    got = chat.format_chats(df).orderBy("part", "place").collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.conv_id].append(r)
+    assert len({r.part for r in by[77]}) > 1  # a hot conversation lies in several partitions
+    for rs in by.values():
+        assert legal("".join(r.rendered for r in rs)), rs
+        roles = [chat.role_of(r.role) for r in rs]
+        cost = sum((0 if chat.role_of(r.role) == chat.role_of(r.new_role) else chat.RELABEL if chat.role_of(r.role) or r.new_role != "system" else 2 * chat.RELABEL) + chat.MERGE * (r.action == "merge") + chat.INSERT * r.n_inserted for r in rs)
+        # a merged turn may be relabelled too; its action says merge
+        assert cost == (chat.total(roles)[0] + chat.CLOSE_COST).min()
+    assert chat.format_chats(df.limit(0)).count() == 0
