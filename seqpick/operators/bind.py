@@ -61,7 +61,7 @@ def resolve_field(df: DataFrame, field: str, table: DataFrame | None = None, reg
         options.append(pair(filled(F.col(field).cast("string")), "attribute"))
     if "taxonomy" in had:
         known = field in STANDARD_RANKS
-        options.append(pair(rank("taxonomy", field) if known else filled(F.element_at(F.col("taxonomy")["lineage"], field)), "taxonomy"))
+        options.append(pair(rank("taxonomy", field) if known else filled(F.try_element_at(F.col("taxonomy")["lineage"], F.lit(field))), "taxonomy"))
     if regex:
         options.append(pair(regex_value(F.col("header"), regex), "header_regex"))
     options.append(pair(F.lit("Unknown"), "none"))

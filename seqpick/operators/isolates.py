@@ -113,7 +113,7 @@ def assemble(df: DataFrame, carry: tuple[str, ...] = ("organism", "host", "count
     """One row for each isolate: bodies joined in order of parts, flags that hold for all, the first filled metadata."""
     part = F.struct("segment_ord", "segment", "accession", "id", "sequence", "is_refseq", "is_reviewed", "input_ord", *(F.col(c) for c in carry if c in df.columns))
     rows = df.groupBy("isolate_key").agg(F.array_sort(F.collect_list(part)).alias("p"), F.bool_and(F.coalesce("is_refseq", F.lit(False))).alias("is_refseq"), F.bool_and(F.coalesce("is_reviewed", F.lit(False))).alias("is_reviewed"), F.min("input_ord").alias("input_ord"))
-    first = lambda c: F.element_at(F.filter(F.transform("p", lambda x: filled(x[c])), lambda x: x.isNotNull()), 1)
+    first = lambda c: F.get(F.filter(F.transform("p", lambda x: filled(x[c])), lambda x: x.isNotNull()), F.lit(0))
     return rows.select(
         F.concat(F.lit("CONCAT|"), F.col("isolate_key")).alias("id"), F.col("isolate_key").alias("isolate_id"), F.array_join(F.transform("p", lambda x: x["sequence"]), "").alias("sequence"),
         F.transform("p", lambda x: F.struct(x["segment"].alias("segment"), x["accession"].alias("accession"), x["id"].alias("id"), F.length(x["sequence"]).alias("length"))).alias("concat_segments"),

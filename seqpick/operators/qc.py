@@ -28,13 +28,11 @@ def protect_flag(df: DataFrame, protect: DataFrame | None, stage: str, stages: t
     """``df`` with `_protected`: an identifier is on the list (`id`), or its isolate has such a record."""
     if protect is None or stage not in stages:
         return df.withColumn("_protected", F.lit(False))
-    keys = protect.select(X.match_key(F.col("id")).alias("_key")).where("_key is not null").distinct()
+    keys = protect.select(X.match_key(F.col("id")).alias("_key")).where("_key is not null").distinct().withColumn("_hit", F.lit(True))
     names = [c for c in ("accession", "id", "isolate_id") if c in df.columns]
-    row = df.withColumn("_row", F.monotonically_increasing_id())
-    # the list is small and joined by key; a record counts once, whichever identifier is on it
-    long = row.select("_row", F.explode(F.array_distinct(F.filter(F.array(*(X.match_key(F.col(n)) for n in names)), lambda x: x.isNotNull()))).alias("_key"))
-    hit = long.join(keys, "_key", "left_semi").select("_row").distinct().withColumn("_protected", F.lit(True))
-    out = row.join(hit, "_row", "left").withColumn("_protected", F.coalesce("_protected", F.lit(False))).drop("_row")
+    out = df.withColumn("_protected", F.lit(False))
+    for n in names:  # the list is small: each is a broadcast join, and keys are distinct
+        out = out.withColumn("_key", X.match_key(F.col(n))).join(keys, "_key", "left").withColumn("_protected", F.col("_protected") | F.col("_hit").isNotNull()).drop("_key", "_hit")
     if "isolate_id" in names:
         whole = F.max("_protected").over(Window.partitionBy("isolate_id"))
         out = out.withColumn("_protected", F.when(F.col("isolate_id").isNull(), F.col("_protected")).otherwise(whole))

@@ -42,4 +42,4 @@ def filled(c: Column) -> Column:
 def rank(taxonomy: str, name: str) -> Column:
     """A rank's label: a standard rank has its field alone, any other the lineage map alone."""
     t = F.col(taxonomy)
-    return filled(t[name]) if name in STANDARD_RANKS else filled(F.element_at(t["lineage"], name))
+    return filled(t[name]) if name in STANDARD_RANKS else filled(F.try_element_at(t["lineage"], F.lit(name)))

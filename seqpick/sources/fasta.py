@@ -41,9 +41,9 @@ def header_fields(h: Column) -> Column:
     body = F.regexp_replace(h, ACCESSION, "")
     body = F.regexp_replace(body, r"^\s+", "")
     brackets = F.regexp_extract_all(body, F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    organism = F.element_at(F.filter(F.reverse(brackets), lambda b: b.rlike("^[A-Z][a-z]") & (F.size(F.split(F.trim(b), r"\s+")) >= 2)), 1)
-    country = F.element_at(F.filter(brackets, lambda b: ~b.eqNullSafe(organism) & b.rlike(COUNTRY)), 1)
-    host = F.element_at(F.filter(brackets, lambda b: ~b.eqNullSafe(organism) & ~b.eqNullSafe(country)), 1)
+    organism = F.get(F.filter(F.reverse(brackets), lambda b: b.rlike("^[A-Z][a-z]") & (F.size(F.split(F.trim(b), r"\s+")) >= 2)), F.lit(0))
+    country = F.get(F.filter(brackets, lambda b: ~b.eqNullSafe(organism) & b.rlike(COUNTRY)), F.lit(0))
+    host = F.get(F.filter(brackets, lambda b: ~b.eqNullSafe(organism) & ~b.eqNullSafe(country)), F.lit(0))
     virus = fields("ncbi_virus", accession, body, refseq=X.is_refseq(accession), organism=organism, strain=F.coalesce(got(body, STRAIN_ANY, 1), got(body, STRAIN_ANY, 2)), collection_date=got(body, DATE), segment=got(body, SEGMENT), country=country, host=host)
 
     tail = r"^(.*?)(?:\s+\[([^\]]+)\])?$"

@@ -16,6 +16,7 @@ def dedup_stream(df: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1
     return df.dropDuplicates(keys)
 
 
-def window_counts(df: DataFrame, keys: list[str], value: str, ts: str = "ts", size: str = "1 day", delay: str = "10 minutes") -> DataFrame:
-    rows = df.withWatermark(ts, delay) if df.isStreaming else df
+def window_counts(df: DataFrame, keys: list[str], value: str, ts: str = "ts", size: str = "1 day", delay: str | None = None) -> DataFrame:
+    """``delay``: the watermark, for a stream that has none yet."""
+    rows = df.withWatermark(ts, delay) if df.isStreaming and delay else df
     return rows.groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
