@@ -34,25 +34,65 @@ from .common import LOWER, stage_table, total_text_bytes
 DEPTH = 4
 #: Text of a chunk, and the least number of chunks.
 CHUNK_BYTES, CHUNKS = 24 << 20, 16
-SLICE = 4 << 20
+SLICE = 2 << 20
 FOLDS = 10
 END = b"\n"
 
 
-def coded(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").translate(LOWER).split()) + END
+def coded(text: bytes | None) -> tuple[list[bytes], bytes]:
+    """The words, and the coded text."""
+    words = (text or b"").translate(LOWER).split()
+    return words, b" ".join(words) + END
 
 
-def grams(docs: list[bytes], depth: int) -> np.ndarray:
-    """A key for each byte of each coded document in turn: the bytes before, nearest first, and the byte last."""
+def _padded(docs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of coded documents, each behind ``depth`` ends, and which of those from place ``depth`` on are to be coded."""
     pad = END * depth
     a = np.frombuffer(b"".join(x for d in docs for x in (pad, d)), np.uint8)
-    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    at = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(docs) + 1) * depth, sizes)
-    key = a[at].astype(np.int64)
+    keep = np.ones(len(a), bool)
+    starts = np.cumsum([0, *(len(d) + depth for d in docs[:-1])])
+    for k in range(depth):
+        keep[starts + k] = False
+    return a, keep[depth:]
+
+
+def grams(docs: list[bytes], depth: int) -> np.ndarray:
+    """A key for each byte of each coded document in turn: the bytes before, nearest first, and the byte last."""
+    a, keep = _padded(docs, depth)
+    n = len(a)
+    key = a[depth:].astype(np.int64)
     for j in range(1, depth + 1):
-        key |= a[at - j].astype(np.int64) << (8 * (depth + 1 - j))
-    return key
+        key |= a[depth - j : n - j].astype(np.int64) << (8 * (depth + 1 - j))
+    return key[keep]
+
+
+class Lookup:
+    """Values of grams: a walk down the tree of contexts, one table look-up a byte."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, depth: int):
+        self.depth, self.value = depth, value
+        present = np.zeros(256, bool)
+        for j in range(depth + 1):
+            present[(key >> (8 * j)) & 255] = True
+        self.size = int(present.sum())
+        self.code = (np.cumsum(present) - 1).astype(np.int32)
+        self.tables = []
+        above = np.zeros(len(key), np.int64)
+        for k in range(depth + 1):
+            ctx = key >> (8 * (depth - k))
+            at = np.cumsum(np.r_[False, ctx[1:] != ctx[:-1]])
+            table = np.zeros((int(above[-1]) + 1 if len(key) else 1) * self.size, np.int32)
+            table[above * self.size + self.code[ctx & 255]] = at
+            self.tables.append(table)
+            above = at
+
+    def of(self, docs: list[bytes]) -> np.ndarray:
+        a, keep = _padded(docs, self.depth)
+        n, c = len(a), self.code[a]
+        state = self.tables[0][c[self.depth - 1 : n - 1]]
+        for j in range(2, self.depth + 1):
+            state = self.tables[j - 1][state * self.size + c[self.depth - j : n - j]]
+        return self.value[self.tables[self.depth][state * self.size + c[self.depth :]][keep]]
 
 
 _TABLE = np.array([math.lgamma(i + 0.5) for i in range(64)])
@@ -196,17 +236,11 @@ def _chunk_counts(chunk: int, texts: list[bytes | None], train: np.ndarray, dept
             part = [d for d, t in zip(docs, train[a:b], strict=True) if t == fold]
             if not part:
                 continue
-            u, n = np.unique(grams(part, depth), return_counts=True)
+            u, n = np.unique(grams([d for _, d in part], depth), return_counts=True)
             keys.append((u, n if fold else np.zeros(len(u), np.int64)))
-            for d in part:
-                if fold:
-                    tokens.update(d.split())
-                else:
-                    tokens.update(dict.fromkeys(d.split(), 0))
-            if fold:
-                tokens[END] += len(part)
-            else:
-                tokens[END] += 0
+            for w, _ in part:
+                tokens.update(w if fold else dict.fromkeys(w, 0))
+            tokens[END] += len(part) * fold
     u, at = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
     n = np.bincount(at, np.concatenate([n for _, n in keys]), len(u)).astype(np.int64)
     g = len(u)
@@ -284,23 +318,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         got = right.filter(isgram)
         keys, values = got.column("gram").to_numpy(), got.column("v").to_numpy()
         order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        look = Lookup(keys[order], values[order], depth)
         toks = right.filter(pa.compute.invert(isgram))
-        c = dict(zip(toks.column("token").to_pylist(), toks.column("v").to_pylist(), strict=True))
-        logs = {k: math.log10((v + 0.1) / floor) for k, v in c.items()}
+        counts = toks.column("v").to_numpy()
+        names = toks.column("token").to_pylist()
+        logs = dict(zip(names, np.log10((counts + 0.1) / floor).tolist(), strict=True))
+        unknown = {names[i] for i in np.flatnonzero(counts == 0)}
         texts = left.column("text").cast(pa.large_binary()).to_pylist()
+        train = ~np.array(left.column("held_out").to_pylist(), bool)
         m = len(texts)
         n_tokens, n_known, base, own, size = (np.zeros(m, t) for t in (np.int64, np.int64, float, float, np.int64))
         for a, b in _spans(texts):
             each = [coded(t) for t in texts[a:b]]
-            size[a:b] = sizes = np.fromiter(map(len, each), np.int64, b - a)
-            u, at = np.unique(grams(each, depth), return_inverse=True)
-            own[a:b] = np.add.reduceat(values[np.searchsorted(keys, u)][at], np.cumsum(sizes) - sizes)
-            for i, d in enumerate(each, a):
-                w = [*d.split(), END]
-                n_tokens[i] = len(w)
-                base[i] = math.fsum(map(logs.__getitem__, w))
-                n_known[i] = sum(c[x] > 0 for x in w)
+            lines = [d for _, d in each]
+            size[a:b] = sizes = np.fromiter(map(len, lines), np.int64, b - a)
+            own[a:b] = np.add.reduceat(look.of(lines), np.cumsum(sizes) - sizes)
+            for i, (w, _) in enumerate(each, a):
+                n_tokens[i] = len(w) + 1
+                base[i] = sum(map(logs.__getitem__, w)) + logs[END]
+                # a training text's own words are known
+                n_known[i] = n_tokens[i] if train[i] else n_tokens[i] - sum(map(unknown.__contains__, w)) - (END in unknown)
         cols = [left.column("id"), left.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(own), pa.array(size), pa.array(-own / math.log10(2) / size)]
         return pa.Table.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_bytes", "bits_per_byte"])
 
