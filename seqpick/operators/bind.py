@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.text import match_key
+from ..functions.text import match_key, strain_parts
 from ..schema import STANDARD_RANKS, filled, rank
 from ..sources.tables import table_keys
 
@@ -95,6 +95,13 @@ def enrich_isolates(df: DataFrame, features: DataFrame) -> DataFrame:
     return df.join(side, "accession", "left").withColumns({"isolate_id_source": source, "isolate_id": F.coalesce(own, name), "segment": F.coalesce(filled(F.col("segment")), filled(F.col("_g")))}).select(*df.columns)
 
 
+def fill_from_strain(df: DataFrame) -> DataFrame:
+    """Blank host, country, date and subtype from the strain label, else the description, else the header."""
+    target = F.coalesce(filled(F.col("strain")), filled(F.col("description")), F.col("header"))
+    parts = strain_parts(target)
+    return df.withColumns({c: F.coalesce(filled(F.col(c)), v) for c, v in parts.items()}).select(*df.columns)
+
+
 def merge_labels(labels: Column, new: Column, overwrite: bool = True) -> Column:
     """Two label maps as one; where both have a key the new one wins, or with ``overwrite`` off the old one."""
     none = F.create_map().cast("map<string,string>")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "--"
@@ -225,3 +225,28 @@ def scan_unique(df: DataFrame, scan) -> DataFrame:
     """Hits of every protein, each distinct body scanned once. ``scan`` maps (aa) to (aa, hits)."""
     long = df.select("id", F.posexplode("proteins").alias("nth", "p")).withColumn("aa", F.col("p.sequence"))
     return long.join(scan(long.select("aa").where("aa is not null").distinct()), "aa", "left")
+
+
+def isolate_gate(df: DataFrame, specs: dict[str, tuple[str, ...]], prefix: str = "hmm_failed", tolerance: int = TOLERANCE) -> DataFrame:
+    """``df`` with `_reason` for records in parts: a part (its record that assembly keeps) without any of its tokens fails its isolate.
+
+    ``specs``: tokens of each part. The failing record says which part and token; all others of the isolate say so as its siblings, by the
+    first failure in input order. Records without an isolate pass. ``df`` has isolate_key and segment.
+    """
+
+    @F.pandas_udf("string")
+    def failed(segment: pd.Series, proteins: pd.Series) -> pd.Series:
+        def one(seg, ps):
+            tokens = specs.get(seg)
+            ps = _plain(ps) if ps is not None else []
+            return None if not tokens or any(satisfies(p, tokens, tolerance) for p in ps) else tokens[0]
+
+        return pd.Series([one(s, p) for s, p in zip(segment, proteins, strict=True)])
+
+    part = Window.partitionBy("isolate_key", "segment").orderBy(F.length("sequence").desc(), "input_ord")
+    rows = df.withColumn("_judged", (F.row_number().over(part) == 1) & F.col("isolate_key").isNotNull())
+    rows = rows.withColumn("_token", F.when(F.col("_judged"), failed("segment", "proteins")))
+    own = F.concat_ws(":", F.lit(prefix), "segment", "_token")
+    first = F.min(F.when(F.col("_token").isNotNull(), F.struct("input_ord", F.concat_ws(":", "segment", "_token").alias("what")))).over(Window.partitionBy("isolate_key"))["what"]
+    reason = F.when(F.col("isolate_key").isNull(), None).when(F.col("_token").isNotNull(), own).when(first.isNotNull(), F.concat(F.lit(f"{prefix}_sibling:"), first))
+    return rows.withColumn("_reason", reason).drop("_judged", "_token")
