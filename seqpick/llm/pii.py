@@ -203,15 +203,18 @@ def _secret(v: bytes, f: Feistel, back: bool) -> bytes | None:
     return _classes(v, f, b"secret", back, sets)
 
 
-#: In order: where two candidates overlap the first kind has it. The whole match, or group 1, is the value.
+#: Kinds whose value is group 1 of the match; of the others it is the whole match.
+GROUPED = {"secret", "key"}
+#: In order: where two candidates overlap the first kind has it.
 PATTERNS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("email", re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
     ("secret", re.compile(rb"(?i)(?:token|secret|passwd|password|api[_-]?key)\W{1,5}([A-Za-z0-9+/_-]{16,256})"), _secret),
+    ("key", re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
     ("date", re.compile(rb"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d/])"), _date),
     ("ssn", re.compile(rb"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _number(b"ssn", _ssn_ok)),
     ("ip", re.compile(rb"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _ip),
-    ("card", re.compile(rb"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"), _card),
+    ("card", re.compile(rb"(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d|-\d)"), _card),
     ("phone", re.compile(rb"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"), _phone),
 )
 _MAY = re.compile(rb"[0-9@]")
@@ -225,11 +228,11 @@ def pseudonyms(text: bytes, f: Feistel, back: bool = False) -> tuple[bytes, list
     taken = bytearray(len(text)) if len(text) < 1 << 16 else None
     for kind, pattern, move in PATTERNS:
         for m in pattern.finditer(text):
-            a, b = m.span(1) if kind == "secret" else m.span()
+            a, b = m.span(1 if kind in GROUPED else 0)
             free = not any(taken[a:b]) if taken is not None else not any(x < b and a < y for x, y, _, _ in spans)
-            new = f.seen.get((kind, m.group(1) if kind == "secret" else m.group(), back)) if free else None
+            value = text[a:b]
+            new = f.seen.get((kind, value, back)) if free else None
             if free and new is None:
-                value = text[a:b]
                 new = move(value, f, back)
                 if len(f.seen) < 100_000:
                     f.seen[kind, value, back] = new
