@@ -6,7 +6,6 @@ removes, and a log of those it would have removed but a protect list holds. Coun
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,24 +118,38 @@ def blocklist(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run_basic(df: DataFrame, cfg: dict, protect: DataFrame | None = None) -> Stage:
-    """Duplicates, length, ambiguity, annotation: cheap stages first, in this order."""
-    logs, helds, kept = [], [], df
-    stages = []
+    """Duplicates, length, ambiguity, annotation in this order, in one pass.
+
+    Only the first looks at other rows, and it looks at all of them; so every stage's reason is a column, a row falls at its
+    first reason that isn't protected, and is told as protected at those before.
+    """
+    reasons: list[tuple[str, Column]] = []
     if cfg.get("remove_duplicates", True):
-        stages.append(lambda d: exact_duplicates(d, protect))
+        w = Window.partitionBy(F.md5("sequence"), F.length("sequence")).orderBy(F.col("is_refseq").desc_nulls_last(), F.col("is_reviewed").desc_nulls_last(), "input_ord")
+        best = F.first("id").over(w)
+        df2 = df.withColumn("_nth", F.row_number().over(w)).withColumn("_best", best)
+        reasons.append(("duplicates", F.when(F.col("_nth") > 1, F.concat(F.lit("exact_duplicate_of:"), F.col("_best").cast("string")))))
+    else:
+        df2 = df
     lo, hi = cfg.get("min_length"), cfg.get("max_length")
     if lo is not None or hi is not None:
-        stages.append(lambda d: length_bounds(d, lo, hi, protect))
-    stages.append(lambda d: ambiguity_gate(d, cfg.get("ambiguous_threshold", 0.05), protect))
+        reasons.append(("length", length_reason(F.length("sequence"), lo, hi)))
+    share = X.ambiguity(F.col("sequence"), F.col("seq_type"))
+    reasons.append(("ambiguous", F.when(share > cfg.get("ambiguous_threshold", 0.05), F.format_string("ambiguous_chars:%.4f", share))))
     if cfg.get("annotation_filter", True):
-        stages.append(lambda d: annotation_gate(d, tuple(cfg.get("keywords", X.KEYWORDS)), protect))
-    for stage in stages:
-        got = stage(kept)
-        kept = got.kept
-        logs.append(got.removed)
-        helds.append(got.protected)
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return Stage(kept, union(logs), union(helds))
+        hit = X.keyword_hit(F.col("description"), F.col("header"), tuple(cfg.get("keywords", X.KEYWORDS)))
+        reasons.append(("annotation", F.when(hit.isNotNull(), F.concat(F.lit("annotation_keyword:"), hit))))
+    rows = protect_flag(df2, protect, "duplicates")
+    # a protected row falls nowhere and is told at every stage; another falls at its first reason, and no later one is evaluated
+    first = F.coalesce(*(F.when(r.isNotNull(), F.struct(F.lit(stage).alias("stage"), r.alias("reason"))) for stage, r in reasons))
+    fell = rows.where("not _protected").withColumn("_f", first)
+    every = F.array_compact(F.array(*(F.when(r.isNotNull(), F.struct(F.lit(stage).alias("stage"), r.alias("reason"))) for stage, r in reasons)))
+    removed = fell.where("_f is not null").select("id", "_f.stage", "_f.reason")
+    if protect is None:
+        return Stage(fell.where("_f is null").select(*df.columns), removed, removed.limit(0))
+    kept = rows.withColumn("_f", F.when(~F.col("_protected"), first)).where("_f is null").select(*df.columns)
+    held = rows.where("_protected").select("id", F.explode(every).alias("_f")).select("id", "_f.stage", "_f.reason")
+    return Stage(kept, removed, held)
 
 
 def counters(log: DataFrame) -> DataFrame:

@@ -106,38 +106,34 @@ def monophyly(nodes: DataFrame, labels: DataFrame, supported: bool = False) -> D
     there. A taxon is monophyletic if no other stands in the smallest node over it, or with ``supported`` (weak branches collapsed
     before) if no node overlaps it without holding or being held. One outside block makes it paraphyletic, more polyphyletic.
     """
+    key = ["tree", "rank", "taxon"]
     labels = labels.where("taxon is not null")
-    # every node's labelled leaves at every rank, as taxon by leaf
-    long = nodes.select("tree", "node_id", "parent_id", F.explode("leaves").alias("leaf")).join(labels, "leaf")
-    node = long.groupBy("tree", "rank", "node_id", "parent_id").agg(F.array_sort(F.collect_list("leaf")).alias("have"))
-    total = nodes.select("tree", "node_id", F.size("leaves").alias("size"))
-    node = node.join(total, ["tree", "node_id"])
-    leaves = long.select("tree", "rank", "taxon", "leaf").distinct()
-    taxa = leaves.groupBy("tree", "rank", "taxon").agg(F.array_sort(F.collect_list("leaf")).alias("members")).where(F.size("members") >= 2)
-    over = taxa.join(node, ["tree", "rank"])
-    inside = F.size(F.array_except("members", "have")) == 0
-    mrca = over.where(inside).groupBy("tree", "rank", "taxon").agg(F.min_by(F.struct("node_id", "have"), F.struct("size", "node_id")).alias("m"))
-    clash = F.arrays_overlap("have", "members") & (F.size(F.array_except("have", "members")) > 0) & ~inside
-    clashes = over.groupBy("tree", "rank", "taxon").agg(F.max(clash).alias("clash"))
-    got = taxa.join(mrca, ["tree", "rank", "taxon"]).join(clashes, ["tree", "rank", "taxon"]).withColumn("intruders", F.array_except(F.col("m.have"), "members"))
-
-    def blocks(column: str, out: str) -> DataFrame:
-        """How many maximal clades hold labelled leaves of ``column`` alone."""
-        pure = got.select("tree", "rank", "taxon", F.col(column).alias("s")).join(node, ["tree", "rank"]).where((F.size(F.array_except("have", "s")) == 0) & (F.size("have") > 0))
-        pure = pure.select("tree", "rank", "taxon", "node_id", "parent_id")
-        up = pure.select("tree", "rank", "taxon", F.col("node_id").alias("parent_id"))
-        return pure.join(up, ["tree", "rank", "taxon", "parent_id"], "left_anti").groupBy("tree", "rank", "taxon").agg(F.count("*").alias(out))
-
-    got = got.join(blocks("members", "own"), ["tree", "rank", "taxon"], "left").join(blocks("intruders", "other"), ["tree", "rank", "taxon"], "left")
-    who = leaves.select("tree", "rank", F.col("leaf"), F.col("taxon").alias("who"))
-    names = got.select("tree", "rank", "taxon", F.explode("intruders").alias("leaf")).join(who, ["tree", "rank", "leaf"]).groupBy("tree", "rank", "taxon").agg(F.array_join(F.array_sort(F.collect_set("who")), ";").alias("names"))
-    good = ~F.col("clash") if supported else F.size("intruders") == 0
+    leaf = nodes.select("tree", "node_id", "parent_id", F.size("leaves").alias("size"), F.explode("leaves").alias("leaf"))
+    # all from counts of each taxon under each node: leaf sets are never compared
+    per = leaf.join(labels, "leaf").groupBy("tree", "rank", "node_id", "parent_id", "size", "taxon").agg(F.count("*").alias("c"))
+    node = per.groupBy("tree", "rank", "node_id", "parent_id").agg(F.sum("c").alias("all"))
+    per = per.join(node.drop("parent_id"), ["tree", "rank", "node_id"])
+    total = per.groupBy(*key).agg(F.max("c").alias("n")).where("n >= 2")
+    x = per.join(total, key)
+    span = x.groupBy(*key).agg(
+        F.max("n").alias("n"), F.min(F.when(F.col("c") == F.col("n"), F.struct("size", "node_id", "all"))).alias("m"),
+        F.max((F.col("c") < F.col("n")) & (F.col("all") > F.col("c"))).alias("clash"),
+    )
+    up = x.select(*key, F.col("node_id").alias("parent_id"), (F.col("all") == F.col("c")).alias("pure_above"))
+    own = x.where(F.col("all") == F.col("c")).join(up, [*key, "parent_id"], "left").where(~F.coalesce("pure_above", F.lit(False))).groupBy(*key).agg(F.count("*").alias("own"))
+    # an outside block: a labelled node without members right below one with members, inside the span
+    inside = x.join(span.select(*key, "m"), key).where(F.col("size") <= F.col("m.size")).select(*key, F.col("node_id").alias("parent_id"))
+    below = inside.join(node.select("tree", "rank", "parent_id", "node_id"), ["tree", "rank", "parent_id"])
+    other = below.join(x.select(*key, "node_id"), [*key, "node_id"], "left_anti").groupBy(*key).agg(F.count("*").alias("other"))
+    who = span.select(*key, F.col("m.node_id").alias("node_id")).join(per.select("tree", "rank", "node_id", F.col("taxon").alias("who")), ["tree", "rank", "node_id"]).where("who <> taxon")
+    names = who.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("who")), ";").alias("names"))
+    got = span.join(own, key, "left").join(other, key, "left").join(names, key, "left").withColumn("intruders", F.col("m.all") - F.col("n"))
+    got = got.withColumn("good", ~F.col("clash") if supported else F.col("intruders") == 0)
     zero = F.lit(0).cast("bigint")
-    pick = lambda c, other: F.when(F.col("good"), other).otherwise(c)
-    got = got.join(names, ["tree", "rank", "taxon"], "left").withColumn("good", good)
+    pick = lambda c, if_good: F.when(F.col("good"), if_good).otherwise(c)
     return got.select(
-        "tree", "rank", "taxon", F.size("members").alias("n_leaves"), F.when(F.col("good"), "monophyletic").when(F.col("other") == 1, "paraphyletic").otherwise("polyphyletic").alias("status"),
-        pick(F.coalesce("own", zero), F.lit(1).cast("bigint")).alias("n_clusters"), pick(F.size("intruders"), F.lit(0)).alias("n_intruders"), pick(F.coalesce("other", zero), zero).alias("intruder_clusters"), pick(F.coalesce("names", F.lit("")), F.lit("")).alias("intruder_taxa"),
+        *key, F.col("n").cast("int").alias("n_leaves"), F.when(F.col("good"), "monophyletic").when(F.col("other") == 1, "paraphyletic").otherwise("polyphyletic").alias("status"),
+        pick(F.coalesce("own", zero), F.lit(1).cast("bigint")).alias("n_clusters"), pick(F.col("intruders"), zero).cast("int").alias("n_intruders"), pick(F.coalesce("other", zero), zero).alias("intruder_clusters"), pick(F.coalesce("names", F.lit("")), F.lit("")).alias("intruder_taxa"),
     )
 
 

@@ -449,10 +449,11 @@ def q_kmer_count(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, source, list_distinct(string_split(text, ' ')) AS w, length(text) AS n FROM documents), r AS (SELECT source, arg_min(w, (-n, doc_id)) AS rep FROM w GROUP BY 1)
 SELECT doc_id AS id, round(1 - len(list_intersect(w, rep)) / (len(w) + len(rep) - len(list_intersect(w, rep))), 6) AS jaccard, round(1 - len(list_intersect(w, rep)) / least(len(w), len(rep)), 6) AS containment FROM w JOIN r USING (source)""")
 def q_rep_distance(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.split("text", " ")).alias("w"), F.length("text").alias("n"))
-    rep = words.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id", "w"))["w"].alias("rep"))
-    a, b = F.col("w"), F.col("rep")
-    return words.join(rep, "source").select(F.col("doc_id").alias("id"), F.round(stats.jaccard_distance(a, b), 6).alias("jaccard"), F.round(stats.containment_distance(a, b), 6).alias("containment"))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.array_distinct(F.split("text", " ")).alias("members"), F.length("text").alias("n"))
+    first = words.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("n"), "id")).alias("f")).select("source", "f.id")
+    reps = words.join(first, ["source", "id"], "left_semi").select("source", "members")
+    got = kmers.distances_to_representative(words, reps, "source")
+    return got.select("id", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"))
 
 
 # --- records in parts -------------------------------------------------------------------------------
@@ -518,6 +519,102 @@ def q_header_parse(spark, sf_dir):
     return rows.select("id", "f.source", "f.accession", "f.description")
 
 
+@query("""SELECT conv_id || '-' || turn AS id, CASE role WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE role END AS segment FROM conversations""")
+def q_segment_names(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    got = isolates.segment_of(F.col("role"), F.lit(""), ["U", "A"], None, {"U": ["user"], "A": ["assistant"]})
+    return t.select(F.concat_ws("-", "conv_id", "turn").alias("id"), got.alias("segment"))
+
+
+@query(f"""WITH p AS (SELECT * FROM ({_PARTS}) WHERE nth = 1 AND role IN ('user', 'assistant')), g AS (SELECT conv_id FROM p GROUP BY 1 HAVING count(*) = 2), b AS (SELECT *, CASE role WHEN 'user' THEN 1 ELSE 2 END AS o,
+CASE WHEN role = 'user' AND length(text) < 150 OR role = 'assistant' AND length(text) > 800 THEN 'segment_length:' || role || ':' || length(text) END AS bad FROM p JOIN g USING (conv_id)),
+f AS (SELECT conv_id, arg_min(bad, o) FILTER (WHERE bad IS NOT NULL) AS reason FROM b GROUP BY 1) SELECT conv_id || '-' || turn AS id, reason FROM b JOIN f USING (conv_id) WHERE reason IS NOT NULL""")
+def q_part_lengths(spark, sf_dir):
+    stage, _ = isolates.complete(_turns(spark, sf_dir), _VIRUS)
+    return isolates.part_lengths(stage.kept, {"user": (150, None), "assistant": (None, 800)}).removed.select("id", "reason")
+
+
+def _with_proteins(spark, sf_dir) -> DataFrame:
+    """Conversations as records whose proteins are the turns."""
+    p = F.struct("turn", F.col("turn").cast("string").alias("protein_id"), F.col("role").alias("product"), F.length("text").alias("length"), F.col("text").alias("sequence"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(p)).alias("p"))
+    kind = "array<struct<protein_id:string,product:string,length:int,sequence:string>>"
+    return rows.select(F.col("conv_id").cast("string").alias("id"), F.lit(None).cast("string").alias("segment"), F.transform("p", lambda x: x.dropFields("turn")).cast(kind).alias("proteins"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS id, 'too_few_proteins:' || count(*) AS reason FROM conversations GROUP BY conv_id HAVING count(*) < 4")
+def q_protein_count(spark, sf_dir):
+    return qc.protein_count(_with_proteins(spark, sf_dir), 4).removed.select("id", "reason")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id FROM conversations GROUP BY conv_id
+HAVING max(CASE WHEN coalesce(length(text), 0) = 0 THEN 1.0 ELSE length(regexp_replace(text, '[^XBZJxbzj]', '', 'g')) / length(text) END) > 0.03""")
+def q_protein_quality(spark, sf_dir):
+    return qc.protein_quality(_with_proteins(spark, sf_dir), 0.03).removed.select("id")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id, role AS target, min(length(text) / 1000) AS dom_evalue FROM (SELECT conv_id, role, text FROM conversations UNION ALL
+SELECT c.conv_id, r.role, NULL FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES ('user'), ('assistant'), ('tool')) r(role)) WHERE role IN ('user', 'assistant', 'tool') GROUP BY 1, 2""")
+def q_hit_grid(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), F.col("role").alias("target"), (F.length("text") / 1000).alias("dom_evalue"))
+    return reports.hit_grid(t.select("id").distinct(), ["user", "assistant", "tool"], t)
+
+
+@query("""SELECT 'source' AS stratified_by, source AS stratum, count(*) AS stratum_size_before, least(3, count(*)) AS stratum_size_after FROM documents GROUP BY source""")
+def q_group_counts(spark, sf_dir):
+    from . import outputs
+
+    rows = records(spark, sf_dir)
+    w = Window.partitionBy("host").orderBy(*select.priority())
+    none = lambda k: F.lit(None).cast(k)
+    members = rows.select(F.col("host").alias("stratum"), F.col("id").alias("member_id"), (F.row_number().over(w) <= 3).alias("is_rep"), none("double").alias("cutoff"), none("int").alias("trimmed_from"))
+    return outputs.group_counts(members, "source").select("stratified_by", "stratum", "stratum_size_before", "stratum_size_after")
+
+
+@query(f"""SELECT 'host' AS stratified_by, host AS stratum, id, host AS value, 'attribute' AS matched_by, k = 1 AS is_representative FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY is_refseq DESC, is_reviewed DESC, length(sequence) DESC, input_ord) AS k FROM ({RECORDS}))""")
+def q_group_assignments(spark, sf_dir):
+    from . import outputs
+
+    rows = bind.resolve_field(as_records(records(spark, sf_dir)), "host", out="group_host")
+    reps = select.elect(rows, ["host"])
+    return outputs.group_assignments(rows, ["host"], reps).select("stratified_by", "stratum", "id", "value", "matched_by", "is_representative")
+
+
+@query(r"""SELECT doc_id AS id, md5('>' || doc_id || ' ' || source || chr(10) || regexp_replace(regexp_replace(b, '(.{70})', '\1' || chr(10), 'g'), chr(10) || '$', '')) AS entry FROM (SELECT doc_id, source, regexp_replace(text, '\s', '', 'g') AS b FROM documents)""")
+def q_fasta_entries(spark, sf_dir):
+    from ..sources.fasta import fasta_lines
+
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.md5(fasta_lines(F.concat_ws(" ", F.col("doc_id").cast("string"), "source"), F.regexp_replace("text", r"\s", ""))).alias("entry"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN lower(n_name) = 'china' THEN 'Homo sapiens' ELSE n_name END AS host, r_name AS country, CAST(1990 + s_suppkey % 20 AS VARCHAR) AS collection_date, CASE WHEN s_suppkey % 2 = 0 THEN 'H' || (s_suppkey % 10) || 'N1' END AS subtype
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def q_strain_parts(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    host = F.when(F.lower("n_name") == "china", "human").otherwise(F.col("n_name"))
+    tail = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("(H"), (F.col("s_suppkey") % 10).cast("string"), F.lit("N1)"))).otherwise("(mixed, partial)")
+    strain = F.concat(F.lit("A/"), host, F.lit("/"), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("/"), F.col("s_suppkey").cast("string"), F.lit("/"), (1990 + F.col("s_suppkey") % 20).cast("string"), tail)
+    return s.withColumn("strain", strain).select(F.col("s_suppkey").alias("id"), *(c.alias(k) for k, c in X.strain_parts(F.col("strain")).items()))
+
+
+@query("SELECT p_partkey AS id, md5(p_name) AS md5, sha256(p_name) AS sha256, regexp_replace(lower(trim(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g'), '_')), '^[0-9_]+', '') AS key FROM part")
+def q_hash_and_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.md5("p_name").alias("md5"), F.sha2("p_name", 256).alias("sha256"), X.label_key(F.col("p_type")).alias("key"))
+
+
+@query("""WITH n AS (SELECT n_name, r_name, n_nationkey, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT 'geo' AS tree, node_id, rank, name, 1.0::DOUBLE AS share FROM (
+SELECT CAST(n_nationkey + 100 AS INT) AS node_id, 'genus' AS rank, n_name AS name FROM n WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT CAST(s_suppkey + 1000 AS INT), 'genus', n_name FROM supplier JOIN n ON s_nationkey = n_nationkey
+UNION ALL SELECT CAST(n_regionkey + 1 AS INT), CASE WHEN count(DISTINCT n_nationkey) = 1 THEN 'genus' ELSE 'family' END, CASE WHEN count(DISTINCT n_nationkey) = 1 THEN min(n_name) ELSE min(r_name) END FROM supplier JOIN n ON s_nationkey = n_nationkey GROUP BY n_regionkey)""")
+def q_lca_label(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    step = lambda r, c: F.struct(F.lit(r).alias("rank"), F.col(c).alias("name"))
+    lineage = s.select(F.col("s_suppkey").cast("string").alias("leaf"), F.array(step("family", "r_name"), step("genus", "n_name")).alias("lineage"))
+    rows = _geo_nodes(spark, sf_dir).select("tree", "node_id", F.explode("leaves").alias("leaf")).join(lineage, "leaf", "left")
+    return trees.lca_label(rows)
+
+
 # --- alignments and trees ---------------------------------------------------------------------------
 
 _MSA = "SELECT p_partkey AS id, rpad(upper(p_type), CAST((SELECT max(length(p_type)) FROM part) AS INT), '-') AS r FROM part"
