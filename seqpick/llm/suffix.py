@@ -190,6 +190,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     samples = stage_table(_samples(rows.where("id is not null"), length, gram).distinct(), "suffix-samples")
     often = samples.groupBy("gram").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("gram", (F.col("n") > hot_rows).alias("hot"))
+    # written first: the join below then has an exchange on either side, and a hot gram's partition can be split
+    often = stage_table(often, "suffix-often")
     active = samples.join(often, "gram").groupBy("t").agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("places"))
     wanted = active.join(firsts.select("t", "doc"), "t")
     found = rows.join(wanted.withColumnRenamed("doc", "id"), ["id", "t"])
@@ -242,11 +244,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     spans = near.mapInArrow(match, "t long, doc long, start long, stop long, first boolean")
     hot = around.where("hot").select("t", "doc", "gram", F.col("pos").cast("long").alias("start")).distinct()
     classes = hot.groupBy("gram").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("doc").alias("least")).where("a <> b").select("gram", "least")
-    spans = spans.unionByName(hot.join(classes, "gram").select("t", "doc", "start", (F.col("start") + length).alias("stop"), (F.col("doc") == F.col("least")).alias("first")))
+    spans = spans.unionByName(hot.join(stage_table(classes, "suffix-hot"), "gram").select("t", "doc", "start", (F.col("start") + length).alias("stop"), (F.col("doc") == F.col("least")).alias("first")))
 
     pair = F.struct("start", "stop")
     each = spans.groupBy("t").agg(F.collect_set(pair).alias("spans"), F.collect_set(F.when(~F.col("first"), pair)).alias("removed"))
-    each = firsts.join(each, "t", "left")
+    each = stage_table(firsts.join(each, "t", "left"), "suffix-texts")
     out = table.join(each, "t", "left")
     copy = (F.col("copies") > 1) & (F.col("n_words") >= length) & F.col("id").isNotNull()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
