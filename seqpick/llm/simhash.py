@@ -246,7 +246,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     rows = stage_table(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "fp", words).select("id", "fp"), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("node"))
     parts = components(links(classes, radius))
-    named = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    # a written table, not an aggregate that lies dealt out by fp already: so the join has two exchanges, and a hot fingerprint's can be split
+    named = stage_table(classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "named")
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
@@ -339,5 +340,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         part = _stars(d.select((F.col("pair").cast("long") + k * 10**9).alias("pair"), "bits", "node", *code), WIDE, radius)
         edges = part if edges is None else edges.unionByName(part)
     parts = components(edges)
-    named = classes.join(parts, "node", "left").select("code", F.coalesce("component", "node").alias("component"))
+    named = stage_table(classes.join(parts, "node", "left").select("code", F.coalesce("component", "node").alias("component")), "named")
     return rows.select("id", "code").join(named, "code").select("id", "component")
