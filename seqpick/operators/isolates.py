@@ -109,13 +109,33 @@ def part_lengths(df: DataFrame, bounds: dict[str, tuple[int | None, int | None]]
     return Stage(rows.where("_reason is null or _protected").select(*df.columns), log(rows.where("_reason is not null and not _protected")), log(rows.where("_reason is not null and _protected")))
 
 
+def complete_among(df: DataFrame, names: list[str], failed: DataFrame) -> int:
+    """How many isolates of ``failed`` (isolate_key) have all expected parts in ``df``."""
+    have = df.join(failed.select("isolate_key").distinct(), "isolate_key", "left_semi").where(F.col("segment").isin(*names)).groupBy("isolate_key").agg(F.countDistinct("segment").alias("n"))
+    return have.where(F.col("n") == len(set(names))).count()
+
+
 def assemble(df: DataFrame, carry: tuple[str, ...] = ("organism", "host", "country", "collection_date", "strain", "subtype")) -> DataFrame:
-    """One row for each isolate: bodies joined in order of parts, flags that hold for all, the first filled metadata."""
-    part = F.struct("segment_ord", "segment", "accession", "id", "sequence", "is_refseq", "is_reviewed", "input_ord", *(F.col(c) for c in carry if c in df.columns))
-    rows = df.groupBy("isolate_key").agg(F.array_sort(F.collect_list(part)).alias("p"), F.bool_and(F.coalesce("is_refseq", F.lit(False))).alias("is_refseq"), F.bool_and(F.coalesce("is_reviewed", F.lit(False))).alias("is_reviewed"), F.min("input_ord").alias("input_ord"))
+    """One row for each isolate: bodies, marker proteins and proteins joined in order of parts, flags that hold for all, the first
+    filled metadata. Proteins are null where no part has been looked up, and an empty list where there are none."""
+    more = [c for c in ("protein_sequence", "proteins", "taxonomy") if c in df.columns]
+    slim = [F.col("taxonomy").getField("taxid").alias("taxid") if c == "taxonomy" else F.col(c) for c in more]
+    part = F.struct("segment_ord", "input_ord", "segment", "accession", "id", "sequence", *slim, *(F.col(c) for c in carry if c in df.columns))
+    sums = [F.bool_and(F.coalesce(c, F.lit(False))).alias(c) for c in ("is_refseq", "is_reviewed")]
+    if "taxonomy" in more:  # a map inside keeps it from being sorted: the first part's, by its place
+        sums.append(F.min_by("taxonomy", F.when(F.col("taxonomy").isNotNull(), F.struct("segment_ord", "input_ord"))).alias("taxonomy"))
+    rows = df.groupBy("isolate_key").agg(F.array_sort(F.collect_list(part)).alias("p"), *sums, F.min("input_ord").alias("input_ord"))
     first = lambda c: F.get(F.filter(F.transform("p", lambda x: filled(x[c])), lambda x: x.isNotNull()), F.lit(0))
+    each = lambda c: F.filter(F.transform("p", lambda x: x[c]), lambda x: x.isNotNull())
+    extra = []
+    if "protein_sequence" in more:
+        extra.append(F.nullif(F.array_join(each("protein_sequence"), ""), F.lit("")).alias("protein_sequence"))
+    if "proteins" in more:
+        extra.append(F.when(F.size(each("proteins")) > 0, F.flatten(each("proteins"))).alias("proteins"))
+    if "taxonomy" in more:
+        extra.append(F.col("taxonomy"))
     return rows.select(
         F.concat(F.lit("CONCAT|"), F.col("isolate_key")).alias("id"), F.col("isolate_key").alias("isolate_id"), F.array_join(F.transform("p", lambda x: x["sequence"]), "").alias("sequence"),
         F.transform("p", lambda x: F.struct(x["segment"].alias("segment"), x["accession"].alias("accession"), x["id"].alias("id"), F.length(x["sequence"]).alias("length"))).alias("concat_segments"),
-        "is_refseq", "is_reviewed", "input_ord", *(first(c).alias(c) for c in carry if c in df.columns),
+        "is_refseq", "is_reviewed", "input_ord", *extra, *(first(c).alias(c) for c in carry if c in df.columns),
     )

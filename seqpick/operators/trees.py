@@ -189,21 +189,23 @@ def collapse_weak(rows: list[tuple], support: float) -> list[tuple]:
 
 
 def parse_newick(tree: str, text: str, names: dict[str, str] | None = None) -> list[tuple]:
-    """NODE rows of a Newick string; inner labels that are numbers are supports; ``names`` renames leaves."""
-    rows: list[list] = [[tree, 0, None, 0, None, None]]
+    """NODE rows of a Newick string, each with its branch length behind; inner labels that are numbers are supports; ``names`` renames leaves."""
+    rows: list[list] = [[tree, 0, None, 0, None, None, None]]
     at, opened = 0, []
     for tok in re.findall(r"[(),;]|'[^']*'(?::[^,();]*)?|[^(),;\s]+", text):
         if tok == "(":
             opened.append(at)
-            rows.append([tree, len(rows), at, len(opened), None, None])
+            rows.append([tree, len(rows), at, len(opened), None, None, None])
             at = len(rows) - 1
         elif tok == ",":
-            rows.append([tree, len(rows), opened[-1], len(opened), None, None])
+            rows.append([tree, len(rows), opened[-1], len(opened), None, None, None])
             at = len(rows) - 1
         elif tok == ")":
             at = opened.pop()
         elif tok != ";":
-            label = (tok if tok[0] != "'" else tok[1:]).rsplit(":", 1)[0].strip("'")
+            name = re.fullmatch(r"('[^']*'|[^:]*)(?::(.*))?", tok)
+            label = name[1].strip("'")
+            rows[at][6] = float(name[2]) if name[2] else None
             if any(r[2] == at for r in rows):
                 rows[at][4] = float(label) if re.fullmatch(r"\d+(\.\d+)?", label) else None
             elif label:

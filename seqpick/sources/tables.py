@@ -60,6 +60,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(value.alias("id")).where((F.col("id") != "") & ~F.col("id").startswith("#"))
 
 
+def union_ids(spark: SparkSession, inline: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Ids given in the configuration and in files, each once."""
+    out = spark.createDataFrame([(x.strip(),) for x in inline or [] if x.strip()], "id string")
+    for p in paths or []:
+        out = out.unionByName(read_ids(spark, p))
+    return out.distinct()
+
+
 def read_cluster_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(representative, member) of `rep<TAB>member` lines."""
     return spark.read.option("sep", "\t").schema("representative string, member string").csv(path)

@@ -119,6 +119,9 @@ def test_assembly(records):
     got = isolates.assemble(stage.kept).collect()
     assert [(r.id, r.sequence, r.is_refseq) for r in got] == [("CONCAT|iso_1", "PPHHHHMM", False)]
     assert [s.id for s in got[0].concat_segments] == ["b", "d", "a"]
+    assert (got[0].proteins, got[0].protein_sequence, got[0].taxonomy) == (None, None, None)
+    keyed = stage.kept.select("isolate_key", "segment")
+    assert isolates.complete_among(keyed, VIRUS["segments"], keyed) == 1
     assert log(stage.removed) == {("f", "incomplete_isolate:missing_segments:HA,M"), ("g", "segmented_filter:could_not_identify_isolate_or_segment")}
     assert [(r.isolate_key, r.extras) for r in extras.collect()] == [("iso_1", ["X"])]
     dropped, _ = isolates.complete(df, VIRUS, "drop")
@@ -127,6 +130,14 @@ def test_assembly(records):
     assert {r.reason for r in short.removed.collect()} == {"segment_length:PB2:2"} and short.kept.count() == 0
 
 
+def test_assembly_joins_proteins(records):
+    p = lambda n: [{"protein_id": n, "product": "x", "length": 1, "sequence": n, "hmm_hits": None}]
+    df = records({"id": "a", "isolate_id": "i", "segment": "S", "sequence": "AA", "proteins": p("P"), "protein_sequence": "P", "taxonomy": {"genus": "late", "lineage": {}}}, {"id": "b", "isolate_id": "i", "segment": "L", "sequence": "CC", "proteins": [], "protein_sequence": "Q", "taxonomy": {"genus": "g", "lineage": {"x": "y"}}})
+    df = df.withColumn("isolate_key", F.col("isolate_id")).withColumn("segment_ord", F.when(F.col("segment") == "L", 1).otherwise(2))
+    r = isolates.assemble(df).first()
+    assert (r.sequence, r.protein_sequence, [x.protein_id for x in r.proteins], r.taxonomy.genus) == ("CCAA", "QP", ["P"], "g")
+
+
 def test_collisions(records):
     row = lambda i, src, seg="HA": {"id": i, "isolate_id": "s", "isolate_id_source": src, "segment": seg, "sequence": "A"}
     df = records(row("a", "strain"), row("b", "strain"), row("c", "isolate", "NA"), row("d", "strain", "M"))

@@ -89,6 +89,12 @@ def test_ids(spark, tmp_path):
     assert [r.id for r in tables.read_ids(spark, str(tmp_path / "ids")).collect()] == ["a", "b"]
 
 
+def test_id_unions(spark, tmp_path):
+    (tmp_path / "ids").write_text("a\nb\n")
+    assert sorted(r.id for r in tables.union_ids(spark, ["b ", "c", " "], [str(tmp_path / "ids")]).collect()) == ["a", "b", "c"]
+    assert tables.union_ids(spark).count() == 0
+
+
 def test_clstr(spark):
     lines = [">Cluster 0", "0\t100aa, >x... *", "1\t90aa, >y... at 95.00%", ">Cluster 1", "0\t80aa, >z... *"]
     got = tables.parse_clstr(spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, ord bigint"))
