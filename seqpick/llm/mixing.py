@@ -19,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, stage_table, without
+from .common import WORD, free_name, stage_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCK = 32
 SEED = 271
 #: Rows of a (source, shard) group that the table is dealt into, and the most shards a source has.
-SHARD_ROWS, SHARDS = 8192, 2048
+SHARD_ROWS, SHARDS = 1024, 2048
 STRIDE = 2_147_483_647
 RESULT = ["size", "source_size", "target", "taken"]
 
@@ -99,12 +99,14 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs
     sources = shards.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("blocks").alias("blocks"))
     goal = targets(sources, weights, max_epochs)
     goal = goal.join(sources.select(F.col("source").alias("s2"), "blocks"), F.expr("source <=> s2")).drop("s2")
-    goal = goal.withColumns({"one": F.lit(1), "cap": F.col("blocks") * max_epochs, "seats": F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")})
-    quota = apportion(goal, ["one"], ["place"], "target", "seats", "cap", "quota")
+    goal = goal.withColumns({"one": F.least("place", F.lit(1)), "cap": F.col("blocks") * max_epochs, "share": F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)})
+    # in blocks as they are: the last one of each line is short, so a block holds source_size / blocks words on the mean
+    goal = goal.withColumn("seats", F.round(F.sum("share").over(Window.partitionBy())).cast("long"))
+    quota = apportion(goal, ["one"], ["place"], "share", "seats", "cap", "quota")
     # a source at its cap is taken whole, all rounds; the last block of a line may be short
     quota = quota.withColumn("quota", F.when(F.col("target") >= F.col("source_size") * max_epochs, F.col("cap")).otherwise(F.col("quota")))
     parts = shards.join(quota.select(F.col("source").alias("s2"), "source_size", "target", "quota"), F.expr("source <=> s2")).drop("s2")
-    parts = parts.withColumns({"cap": F.col("blocks") * max_epochs, "share": F.col("words").cast("double")})
+    parts = parts.withColumns({"cap": F.col("blocks") * max_epochs, "share": F.col("blocks").cast("double")})
     parts = apportion(parts, ["source"], ["shard"], "share", "quota", "cap", "part")
     rounds = F.when(F.col("blocks") > 0, F.floor(F.col("part") / F.col("blocks"))).otherwise(0).cast("long")
     parts = parts.select(F.col("source").alias("s2"), F.col("shard").alias("h2"), "source_size", "target", "blocks", rounds.alias("rounds"), (F.col("part") - rounds * F.col("blocks")).alias("rest"))
@@ -120,16 +122,15 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs
 
 
 def repeat(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` once for each started round that ``taken`` (id, size, taken) takes: none if it takes nothing.
+    """``docs`` in whole copies: taken / size of ``taken`` (id, size, taken), rounded up or down by the seeded hash of the id.
 
-    A copy counts the whole document: copies are taken / size rounded, by the seeded hash of the id.
+    On the whole a source keeps its taken words. Rows that repeat an id have as many copies as the most taken of them.
     """
     own = list(docs.columns)
-    times = free_name(own, "_times")
+    times, same = free_name(own, "_times"), free_name(own, "_same")
     ratio = F.col("taken") / F.col("size")
     spin = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = taken.where("taken > 0").groupBy(id_col).agg(F.max(F.floor(ratio + spin).cast("int")).alias(times)).where(F.col(times) > 0)
-    return docs.join(wanted, id_col).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in own))
-
-
-__all__ = ["RESULT", "apportion", "free_name", "mix", "mix_sizes", "n_words", "repeat", "targets", "without"]
+    per = taken.where("taken > 0").withColumn(times, F.floor(ratio + spin).cast("int"))
+    wanted = per.groupBy(F.col(id_col).alias(same)).agg(F.max(times).alias(times)).where(F.col(times) > 0)
+    joined = docs.join(wanted, F.expr(f"`{id_col}` <=> `{same}`"))
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in own))
