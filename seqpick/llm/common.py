@@ -38,6 +38,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Delete all written tables of this library in the shared folder, once no DataFrame over them is needed."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/seqpick")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """``base``, or with underscores before it, so that no column in ``taken`` has the name (in any case)."""
     low = {x.lower() for x in taken}
