@@ -93,7 +93,7 @@ def subtype_shares(before: DataFrame, after: DataFrame, column: str = "subtype")
     both = a.join(b, F.expr("subtype <=> _s"), "full_outer")
     total = F.sum("n_after").over(Window.partitionBy())
     out = both.select(F.coalesce("subtype", "_s").alias("subtype"), F.coalesce("n_before", F.lit(0).cast("bigint")).alias("n_before"), F.coalesce("n_after", F.lit(0).cast("bigint")).alias("n_after"))
-    return out.withColumn("share", F.col("n_after") / total)
+    return out.withColumn("share", F.when(total > 0, F.col("n_after") / total))
 
 
 def label_table(pre: DataFrame, pool: DataFrame, reps: DataFrame, column: str) -> DataFrame:

@@ -190,6 +190,13 @@ def test_label_table_withholds_mixed_units(spark):
     assert all(r.n_pre_shown is None for r in reports.label_table(one("a"), one("a", "a"), one(), "clade").collect())
 
 
+def test_subtype_shares(spark):
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "subtype string")
+    got = {r.subtype: (r.n_before, r.n_after, r.share) for r in reports.subtype_shares(one("H5N1", "n/a", None, "H1"), one("H5N1", None)).collect()}
+    assert got == {"H5N1": (1, 1, 0.5), None: (2, 1, 0.5), "H1": (1, 0, 0.0)}
+    assert [r.share for r in reports.subtype_shares(one("H1"), one()).collect()] == [None]
+
+
 def test_profile_and_tidy(records):
     df = records({"sequence": "A", "host": "h"}, {"sequence": "A", "host": ""})
     got = reports.profile(df, ["host", "id"])
