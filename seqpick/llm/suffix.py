@@ -33,9 +33,11 @@ from .common import stage_table, text_slices
 
 LENGTH, GRAM = 50, 20
 #: Places of one gram that are sorted together at most.
-HOT_ROWS = 200_000
+HOT_ROWS = 20_000
 SLICE = 4 << 20
-PIECE = 1 << 15
+PIECE = 1 << 14
+#: Rows of a batch that a task sends on.
+SEND = 1 << 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -119,7 +121,7 @@ def _lcp(ids: np.ndarray) -> np.ndarray:
 
 
 def _sides(texts: list[bytes], width: int, seen: dict[bytes, int]) -> np.ndarray:
-    out = np.full((len(texts), width), -1, np.int64)
+    out = np.full((len(texts), width), -1, np.int32)
     for i, t in enumerate(texts):
         w = t.split()
         out[i, : len(w)] = [seen.setdefault(x, len(seen)) for x in w]
@@ -197,22 +199,36 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = rows.join(wanted.withColumnRenamed("doc", "id"), ["id", "t"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+
+        def send() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(out, kinds, strict=True)], names=names)
+            for a in out:
+                a.clear()
+            return batch
+
         for part, texts in text_slices(batches, "text", SLICE):
-            out: list[list] = [[] for _ in range(7)]
             for t, doc, places, text in zip(*(part.column(i).to_pylist() for i in (0, 1, 2)), texts, strict=True):
                 words = (text or b"").split()
-                wide = None
+                hot = np.array([p["pos"] for p in places if p["hot"]], np.int64)
+                if len(hot):
+                    # the windows that hold a hot place whole, each once, as arrays
+                    mark = np.zeros(len(words) - length + 2, np.int64)
+                    np.add.at(mark, np.minimum(np.maximum(hot + gram - length, 0), len(mark) - 1), 1)
+                    np.add.at(mark, np.minimum(hot, len(words) - length) + 1, -1)
+                    starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                    wide = _rolling(_word_hashes(words, {}), length).view(np.int64)[starts]
+                    n = len(starts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(np.full(n, doc)), pa.array(wide), pa.array(starts.astype(np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.ones(n, bool))], names=names)
                 for p in places:
-                    at = p["pos"]
-                    if p["hot"]:
-                        wide = _rolling(_word_hashes(words, {}), length) if wide is None else wide
-                        for s in range(max(0, at + gram - length), min(at, len(words) - length) + 1):
-                            for a, v in zip(out, (t, doc, int(wide[s : s + 1].view(np.int64)[0]), s, None, None, True), strict=True):
-                                a.append(v)
-                    else:
+                    if not p["hot"]:
+                        at = p["pos"]
                         for a, v in zip(out, (t, doc, p["gram"], at, b" ".join(words[max(0, at - length + gram) : at][::-1]), b" ".join(words[at : at + length]), False), strict=True):
                             a.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(out, kinds, strict=True)], names=names)
+                if len(out[0]) >= SEND:
+                    yield send()
+        if out[0]:
+            yield send()
 
     names, kinds = ["t", "doc", "gram", "pos", "left", "right", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
     around = found.select("t", F.col("id").cast("long").alias("doc"), "places", "text").mapInArrow(cut, "t long, doc long, gram long, pos int, left binary, right binary, hot boolean")
