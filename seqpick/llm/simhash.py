@@ -18,7 +18,9 @@ node. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -261,18 +263,37 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
     return named.unionByName(left.where(F.col(id_col).isNull()))
 
 
-#: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint, rows of a bin's shingle that come together.
+#: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint.
 BINS, WIDE, HOT_RUN = 8, 4, 20_000
-#: Bins that texts must share at most to meet: at similarity 0.8 three of eight are shared with probability 0.9988.
-SHARED = 3
+#: Code pairs that are compared at a time, and shingles.
+PAIRS, SHINGLES = 1 << 19, 1 << 20
 
 
-def wide_radius(similarity: float, bits: int = 64 * WIDE, slack: float = 1.5) -> int:
-    """Bits that two texts with this share of common shingles differ in, and ``slack`` standard deviations more.
+@cache
+def _bit_differs(similarity: float, most: int = 32) -> float:
+    """The greatest probability that a bit differs in two sets with this share of common shingles.
 
-    Two sets of a size with Jaccard similarity s have the cosine 2s / (1 + s), and a bit differs with probability angle / pi.
+    Large sets have the cosine 2s / (1 + s) at least, and a bit differs with probability angle / pi. Small ones differ
+    more, as even sets can tie: those of up to ``most`` shingles are counted out.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    for b in range(1, most + 1):
+        for a in range(max(1, ceil(similarity * b - 1e-9)), b + 1):
+            both = ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both > a:
+                continue
+            ways = 0
+            for s in range(both + 1):
+                up_a = sum(comb(a - both, x) for x in range(a - both + 1) if 2 * (s + x) > a)
+                up_b = sum(comb(b - both, x) for x in range(b - both + 1) if 2 * (s + x) > b)
+                ways += comb(both, s) * (up_a * (2 ** (b - both) - up_b) + up_b * (2 ** (a - both) - up_a))
+            p = max(p, ways / 2 ** (a + b - both))
+    return p
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE, slack: float = 5) -> int:
+    """Bits that two texts with this share of common shingles differ in at most, but for ``slack`` standard deviations: a filter, not a verdict."""
+    p = _bit_differs(similarity)
     return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p))))
 
 
@@ -284,15 +305,27 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def distinct_shingles(text: bytes | None, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _mark(shingles: np.ndarray) -> int:
+    """The identity of a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bins: int = BINS, width: int = WIDE) -> DataFrame:
-    """(id, code array<long>, keys array<long>): a fingerprint of ``width`` words, and the least shingle hash of each bin (null: empty bin)."""
-    schema = pa.schema([("id", pa.int64()), ("code", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    """(id, mark long, size long, code array<long>, keys array<long>) of each text's set of distinct shingles.
+
+    Mark: its identity; code: a fingerprint of ``width`` words; keys: the least hash of each bin (null: empty bin).
+    """
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("size", pa.int64()), ("code", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text", SLICE):
-            each = [shingle_hashes(t, words) for t in texts]
+            each = [distinct_shingles(t, words) for t in texts]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
+            flat = np.concatenate(each)
             codes = np.stack([majority(_remix(flat, k) if k else flat, sizes) for k in range(width)], 1).view(np.int64)
             least = np.full((len(each), bins), np.iinfo(np.uint64).max, np.uint64)
             full = np.flatnonzero(sizes)
@@ -303,42 +336,178 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             none = (least == np.iinfo(np.uint64).max).ravel()
             at = np.arange(len(each) + 1)
             lists = [pa.ListArray.from_arrays((at * k).astype(np.int32), v) for k, v in ((width, pa.array(codes.ravel())), (bins, pa.array(least.view(np.int64).ravel(), mask=none)))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_mark(x) for x in each], pa.int64()), pa.array(sizes), *lists], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, mark long, size long, code array<long>, keys array<long>")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal values in the first two columns (longs)."""
+    kept: list[pa.RecordBatch] = []  # the rows of the run that the last batch ended in
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pair, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        last = np.flatnonzero((pair != pair[-1]) | (bits != bits[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if kept and (kept[-1].column(0)[-1].as_py() != pair[0] or kept[-1].column(1)[-1].as_py() != bits[0]):
+            yield pa.Table.from_batches(kept)
+            kept = []
+        if cut:
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)])
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _columns(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in names])
+
+
+def _run_numbers(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[True, (pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1])])
+
+
+def run_pairs(codes: np.ndarray, sizes: np.ndarray, run: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j), as indexes, of each run whose codes differ in at most ``radius`` bits and whose sizes allow the similarity."""
+
+    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+        return i[keep], j[keep]
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, code array<long>, keys array<long>")
+    bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
+    counts = np.diff(bounds)
+    small = np.repeat(counts <= LEAF, counts)
+    for step in range(1, min(LEAF, int(counts[counts <= LEAF].max(initial=1)))):
+        i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
+        i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(1, dtype=np.int64) <= radius]
+        yield fit(i, i + step)
+    for k in np.flatnonzero(counts > LEAF):
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        block = max(1, PAIRS // (b - a))
+        for at in range(a, b, block):
+            end = min(at + block, b)
+            differ = np.zeros((end - at, b - at), np.uint16)
+            for w in range(codes.shape[1]):
+                differ += np.bitwise_count(codes[at:end, w, None] ^ codes[None, at:b, w])
+            i, j = np.nonzero(differ <= radius)
+            yield fit(i[i < j] + at, j[i < j] + at)
+
+
+def _candidates(dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The rows of ``dealt`` that have a candidate in their run: (pair, bits, node, size, c0 …). A pair of texts counts in the first bin it shares."""
+    codes, keys = [f"c{i}" for i in range(WIDE)], [f"k{i}" for i in range(BINS)]
+    out = ["pair", "bits", "node", "size", *codes]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches):
+            p = _columns(table, [*out, *keys])
+            run = _run_numbers(p[0], p[1])
+            p = p[:, np.bincount(run)[run] > 1]
+            if not p.shape[1]:
+                continue
+            run, key, first = _run_numbers(p[0], p[1]), p[len(out) :], p[0] % BINS
+            found = np.zeros(p.shape[1], bool)
+            for i, j in run_pairs(np.ascontiguousarray(p[4 : len(out)].T).view(np.uint64), p[3], run, radius, similarity):
+                left = ~(found[i] & found[j])
+                i, j = i[left], j[left]
+                fresh = np.ones(len(i), bool)
+                for b in range(BINS - 1):
+                    fresh &= ~((b < first[i]) & (key[b, i] == key[b, j]) & (key[b, i] != -1))
+                found[i[fresh]] = found[j[fresh]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p[: len(out), found]], names=out)
+
+    return _by_runs(dealt.select(*out, *keys)).mapInArrow(search, ", ".join(f"{c} long" for c in out))
+
+
+def _by_runs(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("pair", "bits").sortWithinPartitions("pair", "bits", "node")
+
+
+def _alike(i: int, others: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``others`` have Jaccard similarity of ``similarity`` or more with set ``i``, by their shingles."""
+    mine = flat[starts[i] : starts[i] + sizes[i]]
+    out = np.zeros(len(others), bool)
+    ends = np.cumsum(sizes[others])
+    at = 0
+    while at < len(others):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHINGLES, "right")))
+        some = others[at:end]
+        theirs = np.concatenate([flat[starts[j] : starts[j] + sizes[j]] for j in some])
+        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+        out[at:end] = both >= similarity * (sizes[i] + sizes[some] - both) - 1e-9
+        at = end
+    return out
+
+
+def _exact_stars(found: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): star edges of the parts within every run that are linked by exact Jaccard similarity. ``found``: rows of ``_candidates`` with their set."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    codes = [f"c{i}" for i in range(WIDE)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches):
+            p = _columns(table, ["pair", "bits", "node", "size", *codes])
+            nodes, sizes, n = p[2], p[3], p.shape[1]
+            flat = table.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint64)
+            starts, label = np.cumsum(sizes) - sizes, np.arange(n)
+            for i, j in run_pairs(np.ascontiguousarray(p[4:].T).view(np.uint64), sizes, _run_numbers(p[0], p[1]), radius, similarity):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else []
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    others = j[x:y][label[j[x:y]] != label[i[x]]]
+                    if len(others):
+                        others = others[_alike(int(i[x]), others, flat, starts, sizes, similarity)]
+                        _contract(label, np.full(len(others), i[x]), others)
+            least = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, nodes)
+            root = least[label]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[root != nodes]), pa.array(root[root != nodes])], schema=schema)
+
+    return _by_runs(found).mapInArrow(search, "a long, b long").distinct()
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles array<long>) of ``docs`` (text), sorted as unsigned."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_slices(batches, "text", SLICE):
+            each = [distinct_shingles(t, words) for t in texts]
+            at = np.cumsum([0, *map(len, each)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([_mark(x) for x in each], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(each).view(np.int64)))], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot_run: int = HOT_RUN) -> DataFrame:
-    """(id, component): groups of texts whose shingle sets are ``similarity`` alike or more, by wide fingerprints.
+    """(id, component): groups of texts that links of exact Jaccard similarity ``similarity`` or more over distinct shingles connect.
 
-    One fingerprint of 64 bits can't tell such texts: at 0.8 they differ in ten bits, too many for blocks of equal bits. So
-    the fingerprints have 256 bits, and what is factored out in the top nodes is a shared shingle instead: texts meet where the least
-    shingle of one of BINS bins is the same (at 0.8 they miss all with probability 0.2^8). Below it is the index of codes in Gray order.
-    A shingle that over ``hot_run`` distinct codes share (a line that many texts have) is dealt again with each other bin's, up to
-    SHARED bins in all; what is still more are copies of one text, which the index takes together.
+    The nodes are distinct sets of shingles. Two meet where the least shingle of one of BINS bins is the same (at 0.8 they miss all with
+    probability 0.2^8), and are candidates if their 256-bit fingerprints and sizes allow the similarity (``wide_radius``: five standard
+    deviations). Only sets with a candidate are sent to their bins whole, and only pairs that are not connected yet are compared there,
+    shingle by shingle; so no group sends all its pairs.
     """
     radius = wide_radius(similarity)
-    rows = stage_table(sketches(docs, id_col, text_col, words), "sketches")
-    classes = stage_table(rows.groupBy("code").agg(F.min("id").alias("node"), F.max("keys").alias("keys")), "classes")
-    base = classes.where("node is not null").select("node", "code", "keys", F.posexplode("keys").alias("pair", "bits")).where("bits is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = stage_table(sketches(texts, "id", "text", words), "sketches")
+    classes = stage_table(rows.groupBy("mark").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.max("code").alias("code"), F.max("keys").alias("keys")), "classes")
     code = [F.col("code")[i].alias(f"c{i}") for i in range(WIDE)]
-    dealt, used = [], 1
-    while True:
-        hot = base.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_run).select("pair", "bits")
-        if used == SHARED or not hot.take(1):
-            dealt.append(base)
-            break
-        hot = stage_table(hot, "hot")
-        dealt.append(base.join(hot, ["pair", "bits"], "left_anti"))
-        again = base.join(hot, ["pair", "bits"], "left_semi").select("node", "code", "keys", "pair", "bits", F.posexplode("keys").alias("other", "more"))
-        # pairs of bins are named by their numbers, one digit for each bin already shared
-        fresh = (F.col("more").isNotNull()) & ~F.contains(F.lpad(F.col("pair").cast("string"), used, "0"), F.col("other").cast("string"))
-        base = stage_table(again.where(fresh).select("node", "code", "keys", (F.col("pair") * 10 + F.col("other")).alias("pair"), F.xxhash64("bits", "more").alias("bits")), "dealt-again")
-        used += 1
-    edges = None
-    for k, d in enumerate(dealt):
-        part = _stars(d.select((F.col("pair").cast("long") + k * 10**9).alias("pair"), "bits", "node", *code), WIDE, radius)
-        edges = part if edges is None else edges.unionByName(part)
-    parts = components(edges)
-    named = stage_table(classes.join(parts, "node", "left").select("code", F.coalesce("component", "node").alias("component")), "named")
-    return rows.select("id", "code").join(named, "code").select("id", "component")
+    keys = [F.coalesce(F.col("keys")[i], F.lit(-1)).alias(f"k{i}") for i in range(BINS)]
+    base = classes.select(F.col("mark").alias("node"), "id", "size", *code, *keys, F.posexplode("keys").alias("pair", "bits")).where("bits is not null").withColumn("pair", F.col("pair").cast("long"))
+    found = stage_table(_candidates(base, radius, similarity), "candidates")
+    wanted = found.select("node").distinct().join(classes.select(F.col("mark").alias("node"), "id"), "node")
+    source = texts.join(wanted.where("id is not null").select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
+    # an id may have several texts: the join keeps the ones that are wanted
+    sets = _shingle_sets(source, words).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    parts = stage_table(components(_exact_stars(found.join(sets, "node").select(*found.columns, "shingles"), radius, similarity)), "parts")
+    named = classes.select("mark", "id").join(parts, F.col("mark") == F.col("node"), "left").select("mark", "id", F.coalesce("component", "mark").alias("part"))
+    named = stage_table(named, "named")
+    least = named.groupBy("part").agg(F.min("id").alias("component"))
+    named = stage_table(named.join(least, "part").select("mark", "component"), "named")
+    return rows.select("id", "mark").join(named, "mark").select("id", "component")

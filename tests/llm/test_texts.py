@@ -152,6 +152,49 @@ def test_keep_one_of_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(df, simhash.near_groups(df)).collect()) == ["1", "None"]
 
 
+def parts_by_jaccard(texts, words=5, similarity=0.8):
+    """The least index of each text's part, by all pairs."""
+    sets = [{tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for w in map(str.split, texts)]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if part[i] != part[j] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                a, b = sorted((part[i], part[j]))
+                part = [a if x == b else x for x in part]
+    return part
+
+
+def some_pairs(rng, sizes, edits):
+    """Texts of ``sizes`` words and a second one of each with words changed, one in ``edits``."""
+    out = []
+    for n, e in zip(sizes, edits, strict=True):
+        b = word_list(rng, n, 10**6)
+        w = list(b)
+        for at in rng.choice(n, e, replace=False):
+            w[at] = "changed"
+        out += [" ".join(b), " ".join(w)]
+    return out
+
+
+def test_near_groups_are_exact(spark):
+    rng = np.random.default_rng(8)
+    # one edited word changes up to five shingles: similarities of 0.5 to 0.95
+    sizes = rng.integers(45, 180, 200)
+    texts = some_pairs(rng, sizes, [max(1, int(n * x)) for n, x in zip(sizes, rng.uniform(0.01, 0.06, 200), strict=True)])
+    expected = parts_by_jaccard(texts)
+    assert 20 < sum(a != i for i, a in enumerate(expected)) < 180
+    got = {r.id: r.component for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_near_groups_of_repeated_lines(spark):
+    # the same distinct shingles in other numbers: equal sets
+    a, b = "a b c d e f g h", "p q r s t u v w x y z"
+    texts = [" ".join([a] * 9 + [b] * 2), " ".join([a] * 2 + [b] * 9), "other words that are in no other text"]
+    got = {r.id: r.component for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(parts_by_jaccard(texts))) == {0: 0, 1: 0, 2: 2}
+
+
 # --- passages
 
 
