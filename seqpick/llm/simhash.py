@@ -263,7 +263,7 @@ def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
     return named.unionByName(left.where(F.col(id_col).isNull()))
 
 
-#: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint.
+#: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint, rows of a bin's shingle that come together.
 BINS, WIDE, HOT_RUN = 8, 4, 20_000
 #: Code pairs that are compared at a time, and shingles.
 PAIRS, SHINGLES = 1 << 19, 1 << 20
@@ -485,13 +485,30 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def _in_blocks(base: DataFrame, hot_run: int) -> DataFrame:
+    """``base`` with the runs of over ``hot_run`` rows cut into blocks of about half as many, each two of which are a run of their own.
+
+    So every two rows of a hot bin still meet, in tasks of bounded rows. Runs are named bin + BINS * (number of the pair of blocks).
+    """
+    hot = base.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_run)
+    hot = stage_table(hot.select("pair", "bits", F.ceil(F.col("n") * 2 / hot_run).cast("long").alias("blocks")), "hot")
+    if not hot.take(1):
+        return base
+    cold = base.join(hot, ["pair", "bits"], "left_anti")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cut = base.join(hot, ["pair", "bits"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    two = F.least("_mine", "_other") * F.col("blocks") + F.greatest("_mine", "_other") + 1
+    return cold.unionByName(cut.withColumn("pair", F.col("pair") + BINS * two).select(*cold.columns))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot_run: int = HOT_RUN) -> DataFrame:
     """(id, component): groups of texts that links of exact Jaccard similarity ``similarity`` or more over distinct shingles connect.
 
     The nodes are distinct sets of shingles. Two meet where the least shingle of one of BINS bins is the same (at 0.8 they miss all with
     probability 0.2^8), and are candidates if their 256-bit fingerprints and sizes allow the similarity (``wide_radius``: five standard
     deviations). Only sets with a candidate are sent to their bins whole, and only pairs that are not connected yet are compared there,
-    shingle by shingle; so no group sends all its pairs.
+    shingle by shingle; so no group sends all its pairs. A bin's shingle that over ``hot_run`` sets share (a line that many texts have) is searched
+    in pairs of blocks: all against all, whatever else they share.
     """
     radius = wide_radius(similarity)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -500,7 +517,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     code = [F.col("code")[i].alias(f"c{i}") for i in range(WIDE)]
     keys = [F.coalesce(F.col("keys")[i], F.lit(-1)).alias(f"k{i}") for i in range(BINS)]
     base = classes.select(F.col("mark").alias("node"), "id", "size", *code, *keys, F.posexplode("keys").alias("pair", "bits")).where("bits is not null").withColumn("pair", F.col("pair").cast("long"))
-    found = stage_table(_candidates(base, radius, similarity), "candidates")
+    found = stage_table(_candidates(_in_blocks(base, hot_run), radius, similarity), "candidates")
     wanted = found.select("node").distinct().join(classes.select(F.col("mark").alias("node"), "id"), "node")
     source = texts.join(wanted.where("id is not null").select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
     # an id may have several texts: the join keeps the ones that are wanted

@@ -195,6 +195,17 @@ def test_near_groups_of_repeated_lines(spark):
     assert got == dict(enumerate(parts_by_jaccard(texts))) == {0: 0, 1: 0, 2: 2}
 
 
+def test_no_pair_is_lost_to_a_hot_bin(spark):
+    rng = np.random.default_rng(9)
+    # short texts of which most shingles are a shared passage: nearly all bins are hot, some empty
+    passage = word_list(rng, 9, 10**6)
+    texts = [" ".join(passage[: rng.integers(5, 10)] + word_list(rng, rng.integers(0, 4), 30)) for _ in range(150)]
+    expected = parts_by_jaccard(texts)
+    for hot in (4, 40):
+        got = {r.id: r.component for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), hot_run=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
+
+
 # --- passages
 
 
