@@ -195,12 +195,14 @@ def _date(v: bytes, f: Feistel, back: bool) -> bytes | None:
     return None
 
 
+PIECE = 256
 _HEX = (b"0123456789abcdef", b"ABCDEF")
 
 
 def _secret(v: bytes, f: Feistel, back: bool) -> bytes | None:
     sets = _HEX if re.fullmatch(rb"[0-9a-fA-F]+", v) else _SETS
-    return _classes(v, f, b"secret", back, sets)
+    # long ones in pieces, so that the numbers stay small
+    return b"".join(_classes(v[at : at + PIECE], f, b"secret%d" % at if at else b"secret", back, sets) for at in range(0, len(v), PIECE))
 
 
 #: Kinds whose value is group 1 of the match; of the others it is the whole match.
@@ -208,7 +210,7 @@ GROUPED = {"secret", "key"}
 #: In order: where two candidates overlap the first kind has it.
 PATTERNS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("email", re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
-    ("secret", re.compile(rb"(?i)(?:token|secret|passwd|password|api[_-]?key)\W{1,5}([A-Za-z0-9+/_-]{16,256})"), _secret),
+    ("secret", re.compile(rb"(?i)(?:token|secret|passwd|password|api[_-]?key)\W{1,5}([A-Za-z0-9+/_-]{16,}={0,2}(?:\.[A-Za-z0-9+/_-]+={0,2})*)"), _secret),
     ("key", re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
     ("date", re.compile(rb"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d/])"), _date),
@@ -234,7 +236,7 @@ def pseudonyms(text: bytes, f: Feistel, back: bool = False) -> tuple[bytes, list
             new = f.seen.get((kind, value, back)) if free else None
             if free and new is None:
                 new = move(value, f, back)
-                if len(f.seen) < 100_000:
+                if len(f.seen) < 100_000 and len(value) <= PIECE:
                     f.seen[kind, value, back] = new
             if free and new is not None:
                 spans.append((a, b, kind, new))
