@@ -100,11 +100,22 @@ def sample_large(rows: DataFrame, stratum: str, n: int, cfg: C.Config) -> DataFr
 
 
 def diversity_curve(df: DataFrame, key: Column, cfg: C.Config | None = None, body: str = "sequence", least: int = 2) -> DataFrame:
-    """(stratum, cutoff, n_clusters) of every stratum of ``least`` to GROUP_ROWS records."""
+    """(stratum, cutoff, n_clusters) of every stratum of ``least`` records or more.
+
+    Strata above GROUP_ROWS are compared in pairs of blocks; only their near pairs come together, to be covered as in one group.
+    """
     cfg = cfg or C.Config()
+    schema = "stratum string, cutoff double, n_clusters int"
     rows = df.withColumn("stratum", key).select("stratum", F.col("id").cast("string").alias("id"), F.col(body).alias("sequence"), "input_ord")
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size")).where((F.col("size") >= least) & (F.col("size") <= C.GROUP_ROWS)).select("stratum")
-    return rows.join(sizes, "stratum", "left_semi").groupBy("stratum").applyInPandas(lambda pdf: C.curve(C.Pool(pdf, cfg), pdf["stratum"].iat[0]), "stratum string, cutoff double, n_clusters int")
+    sized = rows.join(rows.groupBy("stratum").agg(F.count("*").alias("size")).where(F.col("size") >= least), "stratum")
+    some = sized.where(F.col("size") <= C.GROUP_ROWS).drop("size").groupBy("stratum").applyInPandas(lambda pdf: C.curve(C.Pool(pdf, cfg), pdf["stratum"].iat[0]), schema)
+    large = sized.where(F.col("size") > C.GROUP_ROWS).withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("input_ord", "id")) - 1)
+    blocks = F.ceil(F.col("size") * 2 / C.GROUP_ROWS).cast("long")
+    dealt = large.withColumn("mine", F.pmod(F.col("place"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    pairs = dealt.groupBy("stratum", "low", "high").applyInPandas(lambda pdf: C.near_pairs(pdf, cfg), "stratum string, a int, b int, share double")
+    nodes = large.select("stratum", "place", F.coalesce(F.length("sequence"), F.lit(0)).alias("length"))
+    return some.unionByName(nodes.groupBy("stratum").cogroup(pairs.groupBy("stratum")).applyInPandas(lambda n, p: C.sparse_curve(n, p, cfg), schema))
 
 
 def global_threshold(df: DataFrame, threshold: float, cfg: C.Config | None = None, body: str = "sequence") -> DataFrame:
