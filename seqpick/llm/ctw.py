@@ -10,18 +10,22 @@ that training has seen, that node's estimate is kept.
 Everything is exact and dealt out: documents lie in hash chunks of about ``CHUNK_BYTES``; a chunk sends its
 distinct words and (context, byte) grams with training counts once, words are summed by word and
 grams into the subtrees of their last two context bytes (at most 256^(DEPTH - 1) grams), and every
-chunk gets back the scores of what it sent. Only the nodes of depths 0 and 1, at most 65,536 rows, pass the driver.
+chunk gets back the scores of what it sent. Texts pass a task in slices of ``SLICE`` bytes, very long ones in
+parts; what it holds are a chunk's distinct words and grams. Only the nodes of depths 0 and 1, at
+most 65,536 rows, pass the driver.
 
 Null and empty texts: no words, the end alone. A null id is in no fold, and so trains.
 Repeated rows count as often as they stand. Without training rows all words are unknown, and each
 bit is coded by one half. An empty table gives an empty result.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,14 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stage_table, total_text_bytes
+from .common import LOWER, stage_table, text_slices, total_text_bytes
 
 DEPTH = 4
 #: Text of a chunk, and the least number of chunks.
 CHUNK_BYTES, CHUNKS = 24 << 20, 16
 SLICE = 2 << 20
+#: Rows of a batch that a task sends.
+SEND = 1 << 16
 FOLDS = 10
 END = b"\n"
 
@@ -45,54 +51,92 @@ def coded(text: bytes | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + END
 
 
-def _padded(docs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of coded documents, each behind ``depth`` ends, and which of those from place ``depth`` on are to be coded."""
-    pad = END * depth
-    a = np.frombuffer(b"".join(x for d in docs for x in (pad, d)), np.uint8)
-    keep = np.ones(len(a), bool)
-    starts = np.cumsum([0, *(len(d) + depth for d in docs[:-1])])
-    for k in range(depth):
-        keep[starts + k] = False
-    return a, keep[depth:]
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
-def grams(docs: list[bytes], depth: int) -> np.ndarray:
-    """A key for each byte of each coded document in turn: the bytes before, nearest first, and the byte last."""
-    a, keep = _padded(docs, depth)
+def parts(text: bytes | None, depth: int, most: int = SLICE) -> Iterator[tuple[list[bytes], bytes]]:
+    """The coded text in parts of about ``most`` bytes: their words, and their bytes behind the ``depth`` bytes before them."""
+    before, lead, at = END * depth, b"", 0
+    while text is not None and len(text) - at > most:
+        gap = _SPACE.search(text, at + most)
+        if gap is None:
+            break
+        words = text[at : gap.start()].translate(LOWER).split()
+        at = gap.end()
+        if words:
+            line = before + lead + b" ".join(words)
+            yield words, line
+            before, lead = line[-depth:], b" "
+    words, line = coded(text[at:] if at else text)
+    yield words, before + (lead if words else b"") + line
+
+
+def _batches(texts: list[bytes | None], depth: int) -> Iterator[list[tuple[int, list[bytes], bytes]]]:
+    """The parts of many texts, with the texts' numbers, in lists of about SLICE bytes."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for words, line in parts(t, depth):
+            held.append((i, words, line))
+            size += len(line)
+            if size > SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _keys(lines: list[bytes], depth: int) -> np.ndarray:
+    """A key for each byte of lines behind its ``depth`` first: the bytes before, nearest first, and the byte last."""
+    a = np.frombuffer(b"".join(lines), np.uint8)
     n = len(a)
+    keep = np.ones(n, bool)
+    starts = np.cumsum([0, *map(len, lines[:-1])])
+    for k in range(depth):
+        keep[starts + k] = False
     key = a[depth:].astype(np.int64)
     for j in range(1, depth + 1):
         key |= a[depth - j : n - j].astype(np.int64) << (8 * (depth + 1 - j))
-    return key[keep]
+    return key[keep[depth:]]
+
+
+def grams(docs: list[bytes], depth: int) -> np.ndarray:
+    """The keys of coded documents in turn, each begun behind ends."""
+    return _keys([END * depth + d for d in docs], depth)
 
 
 class Lookup:
-    """Values of grams: a walk down the tree of contexts, one table look-up a byte."""
+    """Values of distinct grams in a table of open addresses, at most two thirds full."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray, depth: int):
-        self.depth, self.value = depth, value
-        present = np.zeros(256, bool)
-        for j in range(depth + 1):
-            present[(key >> (8 * j)) & 255] = True
-        self.size = int(present.sum())
-        self.code = (np.cumsum(present) - 1).astype(np.int32)
-        self.tables = []
-        above = np.zeros(len(key), np.int64)
-        for k in range(depth + 1):
-            ctx = key >> (8 * (depth - k))
-            at = np.cumsum(np.r_[False, ctx[1:] != ctx[:-1]])
-            table = np.zeros((int(above[-1]) + 1 if len(key) else 1) * self.size, np.int32)
-            table[above * self.size + self.code[ctx & 255]] = at
-            self.tables.append(table)
-            above = at
+        self.depth, bits = depth, max(4, (len(key) * 3 // 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, value.dtype)
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = left[self.key[at[left]] < 0]
+            self.key[at[free]] = key[free]  # of several that want a slot the last one gets it
+            won = self.key[at[left]] == key[left]
+            self.value[at[left[won]]] = value[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def keys(self, key: np.ndarray) -> np.ndarray:
+        at = self._slot(key)
+        left = np.flatnonzero(self.key[at] != key)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.key[at[left]]
+            if (found < 0).any():
+                raise KeyError("a gram that was not sent")
+            left = left[found != key[left]]
+        return self.value[at]
 
     def of(self, docs: list[bytes]) -> np.ndarray:
-        a, keep = _padded(docs, self.depth)
-        n, c = len(a), self.code[a]
-        state = self.tables[0][c[self.depth - 1 : n - 1]]
-        for j in range(2, self.depth + 1):
-            state = self.tables[j - 1][state * self.size + c[self.depth - j : n - j]]
-        return self.value[self.tables[self.depth][state * self.size + c[self.depth :]][keep]]
+        return self.keys(grams(docs, self.depth))
 
 
 _TABLE = np.array([math.lgamma(i + 0.5) for i in range(64)])
@@ -212,40 +256,132 @@ def log10_grams(key: np.ndarray, n: np.ndarray, depth: int, top: Top) -> np.ndar
     return total
 
 
-def _spans(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Index ranges of about SLICE bytes."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size > SLICE:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+_SENT = pa.schema([("chunk", pa.int32()), ("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64())])
 
 
-_SENT = pa.schema([("chunk", pa.int32()), ("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64())])
+def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of (key, n) as one: n summed by key."""
+    if len(runs) == 1:
+        return runs[0]
+    key, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[start], np.add.reduceat(n, start)
 
 
-def _chunk_counts(chunk: int, texts: list[bytes | None], train: np.ndarray, depth: int) -> pa.Table:
+class Counts:
     """What a chunk holds: its distinct grams and tokens, each with its count in training texts (0: elsewhere only)."""
-    keys, tokens = [], Counter()
-    for a, b in _spans(texts):
-        docs = [coded(t) for t in texts[a:b]]
-        for fold in (True, False):
-            part = [d for d, t in zip(docs, train[a:b], strict=True) if t == fold]
-            if not part:
-                continue
-            u, n = np.unique(grams([d for _, d in part], depth), return_counts=True)
-            keys.append((u, n if fold else np.zeros(len(u), np.int64)))
-            for w, _ in part:
-                tokens.update(w if fold else dict.fromkeys(w, 0))
-            tokens[END] += len(part) * fold
-    u, at = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([n for _, n in keys]), len(u)).astype(np.int64)
-    g = len(u)
-    cols = [pa.array(np.full(g + len(tokens), chunk, np.int32)), pa.concat_arrays([pa.array(u), pa.nulls(len(tokens), pa.int64())]), pa.concat_arrays([pa.nulls(g, pa.binary()), pa.array(list(tokens), pa.binary())]), pa.concat_arrays([pa.array(n), pa.array(list(tokens.values()), pa.int64())])]
-    return pa.Table.from_arrays(cols, schema=_SENT)
+
+    def __init__(self, chunk: int, depth: int):
+        self.chunk, self.depth = chunk, depth
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tokens: dict[bytes, int] = {}
+
+    def add(self, texts: list[bytes | None], train: np.ndarray) -> None:
+        count, get = self.tokens, self.tokens.get
+        for batch in _batches(texts, self.depth):
+            for fold in (True, False):
+                some = [(w, line) for i, w, line in batch if train[i] == fold]
+                if some:
+                    u, n = np.unique(_keys([line for _, line in some], self.depth), return_counts=True)
+                    self._merge(u, n if fold else np.zeros(len(u), np.int64))
+                    for w, _ in some:
+                        for x in w:
+                            count[x] = get(x, 0) + fold
+        count[END] = get(END, 0) + int(train.sum())
+
+    def _merge(self, key: np.ndarray, n: np.ndarray) -> None:
+        """Sorted runs, each over twice as long as the next."""
+        some = [(key, n)]
+        while self.runs and len(self.runs[-1][0]) <= 2 * sum(len(k) for k, _ in some):
+            some.append(self.runs.pop())
+        self.runs.append(_summed(some))
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        self.runs = [_summed(self.runs)]
+        for key, n in self.runs:
+            for at in range(0, len(key), SEND):
+                g = key[at : at + SEND]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), self.chunk, np.int32)), pa.array(g), pa.nulls(len(g), pa.binary()), pa.array(n[at : at + SEND])], schema=_SENT)
+        each = iter(self.tokens.items())
+        while some := list(islice(each, SEND)):
+            m = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, self.chunk, np.int32)), pa.nulls(m, pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], schema=_SENT)
+
+
+def _chunk_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Counts of each chunk, from rows (chunk, held_out, text) in order of chunk."""
+    held: Counts | None = None
+    for part, texts in text_slices(batches, "text", SLICE):
+        chunks = part.column("chunk").to_numpy()
+        train = ~np.array(part.column("held_out").to_pylist(), bool)
+        cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+        for a, b in pairwise(cuts):
+            if held is None or held.chunk != chunks[a]:
+                if held is not None:
+                    yield from held.send()
+                held = Counts(int(chunks[a]), depth)
+            held.add(texts[a:b], train[a:b])
+    if held is not None:
+        yield from held.send()
+
+
+class Scorer:
+    """The values that a chunk gets back, and the scores of its texts."""
+
+    def __init__(self, chunk: int, depth: int, total: int, floor: float):
+        self.chunk, self.depth, self.total, self.floor = chunk, depth, total, floor
+        self.got: list[tuple[np.ndarray, np.ndarray]] = []
+        self.logs: dict[bytes, float] = {}
+        self.none = math.log10(0.1 / floor)
+        self.look: Lookup | None = None
+
+    def learn(self, part: pa.RecordBatch) -> None:
+        isgram = part.column("gram").is_valid()
+        some = part.filter(isgram)
+        self.got.append((some.column("gram").to_numpy(), some.column("v").to_numpy()))
+        words = part.filter(pa.compute.invert(isgram))
+        c = words.column("v").to_numpy()
+        self.logs.update(zip(words.column("token").to_pylist(), np.where(c > 0, np.log10((c + 0.1) / self.floor), self.none).tolist(), strict=True))
+
+    def score(self, part: pa.RecordBatch, texts: list[bytes | None], schema: pa.Schema) -> pa.RecordBatch:
+        if self.look is None:
+            keys, values = (np.concatenate(x) for x in zip(*self.got, strict=True))
+            self.got, self.look = [], Lookup(keys, values, self.depth)
+        m, log = len(texts), self.logs.__getitem__
+        n_tokens, unknown, size, base, own = (np.zeros(m, t) for t in (np.int64, np.int64, np.int64, float, float))
+        for batch in _batches(texts, self.depth):
+            lines = [line for _, _, line in batch]
+            sizes = np.fromiter((len(x) - self.depth for x in lines), np.int64, len(lines))
+            at = np.fromiter((i for i, _, _ in batch), np.int64, len(lines))
+            np.add.at(own, at, np.add.reduceat(self.look.keys(_keys(lines, self.depth)), np.cumsum(sizes) - sizes))
+            np.add.at(size, at, sizes)
+            for i, w, _ in batch:
+                logs = list(map(log, w))
+                n_tokens[i] += len(w)
+                base[i] += sum(logs)
+                unknown[i] += logs.count(self.none)
+        n_tokens += 1
+        base += log(END)
+        unknown += log(END) == self.none
+        cols = [part.column("id"), part.column("held_out"), *map(pa.array, (n_tokens, n_tokens - unknown, np.full(m, self.total, np.int64), base, own, size, -own / math.log10(2) / size))]
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+
+def _chunk_scores(batches: Iterator[pa.RecordBatch], depth: int, total: int, floor: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts, from rows in order of (chunk, kind): values of grams and tokens first, then texts."""
+    held: Scorer | None = None
+    for part, texts in text_slices(batches, "text", SLICE):
+        chunk, kind = (part.column(c).to_numpy() for c in ("chunk", "kind"))
+        cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(chunk)]
+        for a, b in pairwise(cuts):
+            if held is None or held.chunk != chunk[a]:
+                held = Scorer(int(chunk[a]), depth, total, floor)
+            if kind[a]:
+                yield held.score(part.slice(a, b - a), texts[a:b], schema)
+            else:
+                held.learn(part.slice(a, b - a))
 
 
 def _by_context(table: DataFrame) -> DataFrame:
@@ -279,14 +415,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     chunks = max(CHUNKS, -(-total_text_bytes(docs, text_col) // CHUNK_BYTES))
     ident, text = F.col(id_col), F.col(text_col).cast("string")
     held = F.coalesce(F.crc32(ident.cast("string").cast("binary")) % folds == 0, F.lit(False))
-    chunk = F.pmod(F.xxhash64(ident, F.octet_length(text)), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64(ident, text), F.lit(chunks)).cast("int")
     rows = docs.select(chunk.alias("chunk"), ident.alias("id"), held.alias("held_out"), text.alias("text"))
 
-    def count(table: pa.Table) -> pa.Table:
-        train = ~np.array(table.column("held_out").to_pylist(), bool)
-        return _chunk_counts(table.column("chunk")[0].as_py(), table.column("text").cast(pa.large_binary()).to_pylist(), train, depth)
-
-    sent = stage_table(rows.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(count, "chunk int, gram long, token binary, n long"), "ctw-sent")
+    dealt = rows.select("chunk", "held_out", "text").repartition("chunk").sortWithinPartitions("chunk")
+    sent = stage_table(dealt.mapInArrow(lambda b: _chunk_counts(b, depth), "chunk int, gram long, token binary, n long"), "ctw-sent")
 
     two = F.shiftright("gram", 8 * (depth - 1)).alias("two")
     table = stage_table(sent.where("gram is not null").groupBy(two, "gram").agg(F.sum("n").alias("n")), "ctw-grams")
@@ -309,36 +442,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     back = back.unionByName(sent.where("token is not null").select("chunk", "token").join(words, "token").select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("v")))
     floor = total + 0.1 * (distinct + 1)
 
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_bytes long, bits_per_byte double"
-
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram = right.column("gram")
-        isgram = gram.is_valid()
-        got = right.filter(isgram)
-        keys, values = got.column("gram").to_numpy(), got.column("v").to_numpy()
-        order = np.argsort(keys)
-        look = Lookup(keys[order], values[order], depth)
-        toks = right.filter(pa.compute.invert(isgram))
-        counts = toks.column("v").to_numpy()
-        names = toks.column("token").to_pylist()
-        logs = dict(zip(names, np.log10((counts + 0.1) / floor).tolist(), strict=True))
-        unknown = {names[i] for i in np.flatnonzero(counts == 0)}
-        texts = left.column("text").cast(pa.large_binary()).to_pylist()
-        train = ~np.array(left.column("held_out").to_pylist(), bool)
-        m = len(texts)
-        n_tokens, n_known, base, own, size = (np.zeros(m, t) for t in (np.int64, np.int64, float, float, np.int64))
-        for a, b in _spans(texts):
-            each = [coded(t) for t in texts[a:b]]
-            lines = [d for _, d in each]
-            size[a:b] = sizes = np.fromiter(map(len, lines), np.int64, b - a)
-            own[a:b] = np.add.reduceat(look.of(lines), np.cumsum(sizes) - sizes)
-            for i, (w, _) in enumerate(each, a):
-                n_tokens[i] = len(w) + 1
-                base[i] = sum(map(logs.__getitem__, w)) + logs[END]
-                # a training text's own words are known
-                n_known[i] = n_tokens[i] if train[i] else n_tokens[i] - sum(map(unknown.__contains__, w)) - (END in unknown)
-        cols = [left.column("id"), left.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(own), pa.array(size), pa.array(-own / math.log10(2) / size)]
-        return pa.Table.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_bytes", "bits_per_byte"])
-
-    return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, schema).withColumnRenamed("id", id_col)
+    both = back.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    numbers = [("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("code_bytes", "long"), ("bits_per_byte", "double")]
+    result = ", ".join(f"{c} {k}" for c, k in [("id", dict(rows.dtypes)["id"]), ("held_out", "boolean"), *numbers])
+    plain = {"long": pa.int64(), "double": pa.float64()}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(iter(batches := iter(batches)), None)
+        if first is not None:
+            schema = pa.schema([first.schema.field("id"), ("held_out", pa.bool_()), *((c, plain[k]) for c, k in numbers)])
+            yield from _chunk_scores(chain([first], batches), depth, total, floor, schema)
+
+    return both.mapInArrow(find, result).withColumnRenamed("id", id_col)

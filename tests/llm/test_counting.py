@@ -273,3 +273,12 @@ def test_quality_without_labels_or_rows(spark, empty, awkward):
     for lab in (none, None):
         assert quality.judge(empty, quality.fit(empty, lab)).count() == 0
         assert quality.judge(awkward, quality.fit(awkward, lab)).count() == awkward.count()
+
+
+def test_parts_of_long_texts_join_to_the_coded_text():
+    rng = np.random.default_rng(2)
+    for text in (None, b"", b"  ", b"A b\tC", b"x" * 90, b" ".join(rng.choice([b"aB", b"\xc3\xa9t", b"q" * 30, b""], 200)) + b" \n "):
+        words, line = ctw.coded(text)
+        got = list(ctw.parts(text, 3, 40))
+        assert [w for ws, _ in got for w in ws] == words and b"".join(x[3:] for _, x in got) == line
+        assert np.array_equal(np.concatenate([ctw._keys([x], 3) for _, x in got]), ctw.grams([line], 3))
