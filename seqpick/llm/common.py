@@ -19,11 +19,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a local session) a temporary folder is made and set.
+    Only where that is unset in a local session (tests) a temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seqpick-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
@@ -31,18 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{shared_dir(spark).rstrip('/')}/seqpick/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/seqpick/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the table that ``stage_table`` returned as ``df``, once nothing unwritten is derived from it."""
+    _delete(df.sparkSession, df._written)
 
 
 def drop_stage_tables(spark: SparkSession) -> None:
-    """Delete all written tables of this library in the shared folder, once no DataFrame over them is needed."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/seqpick")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all written tables of this application, once no DataFrame over them is needed."""
+    _delete(spark, _run_dir(spark))
 
 
 def free_name(taken: Iterable[str], base: str) -> str:

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, stage_table, text_slices, total_text_bytes
 
 DEPTH = 4
-#: Text of a chunk, and the least number of chunks.
-CHUNK_BYTES, CHUNKS = 24 << 20, 16
+#: Text of a chunk, the least number of chunks, and the most partitions that they are dealt into.
+CHUNK_BYTES, CHUNKS, PARTITIONS = 24 << 20, 16, 8192
 SLICE = 2 << 20
 #: Rows of a batch that a task sends.
 SEND = 1 << 16
@@ -418,7 +418,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     chunk = F.pmod(F.xxhash64(ident, text), F.lit(chunks)).cast("int")
     rows = docs.select(chunk.alias("chunk"), ident.alias("id"), held.alias("held_out"), text.alias("text"))
 
-    dealt = rows.select("chunk", "held_out", "text").repartition("chunk").sortWithinPartitions("chunk")
+    dealt = rows.select("chunk", "held_out", "text").repartitionById(min(chunks, PARTITIONS), "chunk").sortWithinPartitions("chunk")
     sent = stage_table(dealt.mapInArrow(lambda b: _chunk_counts(b, depth), "chunk int, gram long, token binary, n long"), "ctw-sent")
 
     two = F.shiftright("gram", 8 * (depth - 1)).alias("two")
@@ -443,7 +443,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     floor = total + 0.1 * (distinct + 1)
 
     both = back.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    both = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    both = both.repartitionById(min(chunks, PARTITIONS), "chunk").sortWithinPartitions("chunk", "kind")
     numbers = [("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("code_bytes", "long"), ("bits_per_byte", "double")]
     result = ", ".join(f"{c} {k}" for c, k in [("id", dict(rows.dtypes)["id"]), ("held_out", "boolean"), *numbers])
     plain = {"long": pa.int64(), "double": pa.float64()}

@@ -5,13 +5,17 @@ its own size; the excess goes to the others by weight until none is above. Targe
 quotas of equal blocks of ``BLOCK`` words: the highest quotients target / (2k + 1) win, first between
 sources, then between the hash shards of a source by their words. In a shard the documents lie end
 to end in seeded order on a line cut into blocks; the quota is taken in whole rounds over the line
-and for the rest by a seeded choice of blocks, so a document is taken in every round and for its part of
-the chosen blocks, never above ``MAX_EPOCHS`` times.
+and for the rest by a seeded choice of blocks: every stretch of ``STRETCH`` blocks gets its share of the
+rest, and in it the blocks with the least keyed hash are chosen. So a document is taken in every
+round and for its part of the chosen blocks, never above ``MAX_EPOCHS`` times.
 
 Null and empty texts have size 0 and are taken 0 times. A null source is a source, the last in
-order. Rows that repeat an id are each taken in their own place. Ties between quotients go to the first
-source or shard. All rows stay in the result, also where all sizes are 0; an empty table gives an
-empty result. Input columns named like a result column are replaced.
+order. Shards are dealt by id and text, so rows that repeat an id, or have none, spread; only rows that are
+equal in both lie in one shard, and each is taken in its own place. Ties between quotients go to the first
+source or shard. Very long texts are counted by one regular expression and lie on many blocks. All
+rows stay in the result, also where all sizes are 0; an empty table gives an empty result.
+``mix`` returns the id and RESULT alone, ``repeat`` the input's own columns, whatever their names.
+The list of sources passes one task: a row of four numbers for each.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, stage_table
+from .common import WORD, stage_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -27,7 +31,7 @@ BLOCK = 32
 SEED = 271
 #: Rows of a (source, shard) group that the table is dealt into, and the most shards a source has.
 SHARD_ROWS, SHARDS = 1024, 2048
-STRIDE = 2_147_483_647
+STRETCH = 16
 RESULT = ["size", "source_size", "target", "taken"]
 
 
@@ -84,16 +88,21 @@ def apportion(rows: DataFrame, group: list[str], order: list[str], share: str, s
     return got.withColumn(out, F.col("k") + F.when(extra, 1).otherwise(0)).drop("k", "d")
 
 
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("key")]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row (id, RESULT) for each document."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-    return mix_sizes(stage_table(base, "sizes"), weights, max_epochs, block, seed).withColumnRenamed("id", id_col)
+    """One row (id, RESULT, source) for each document."""
+    got = mix_sizes(stage_table(docs.select(*_sized(docs, id_col, source_col, text_col)), "sizes"), weights, max_epochs, block, seed)
+    return got.select(F.col("id").alias(id_col), *RESULT, "source")
 
 
 def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``sized``: id, source, size (a written table; it is read three times)."""
+    """``sized`` (id, source, size, key, and what else is to come along; it is read three times) with RESULT."""
     n = min(SHARDS, max(1, -(-sized.count() // SHARD_ROWS)))
-    rows = sized.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int"))
+    rows = sized.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(n)).cast("int"))
     blocks = F.ceil(F.col("words") / block).cast("long")
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", blocks)
     sources = shards.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("blocks").alias("blocks"))
@@ -109,28 +118,35 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs
     parts = parts.withColumns({"cap": F.col("blocks") * max_epochs, "share": F.col("blocks").cast("double")})
     parts = apportion(parts, ["source"], ["shard"], "share", "quota", "cap", "part")
     rounds = F.when(F.col("blocks") > 0, F.floor(F.col("part") / F.col("blocks"))).otherwise(0).cast("long")
-    parts = parts.select(F.col("source").alias("s2"), F.col("shard").alias("h2"), "source_size", "target", "blocks", rounds.alias("rounds"), (F.col("part") - rounds * F.col("blocks")).alias("rest"))
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the quotas are written: the plan below reads them once for every row's shard
+    parts = stage_table(parts.select(F.col("source").alias("s2"), F.col("shard").alias("h2"), "source_size", "target", "blocks", rounds.alias("rounds"), (F.col("part") - rounds * F.col("blocks")).alias("rest")), "quotas")
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = rows.withColumn("stop", F.sum("size").over(line)).withColumn("start", F.col("stop") - F.col("size"))
     laid = laid.join(parts, F.expr("source <=> s2 AND shard = h2"))
-    turn = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.greatest("blocks", F.lit(1)))
-    chosen = lambda b: F.pmod(b * F.lit(STRIDE) + turn, F.col("blocks")) < F.col("rest")  # noqa: E731  a prime stride above the blocks of a line permutes them
+    turn = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    given = lambda b: F.floor(F.least(b, F.col("blocks")) * F.col("rest") / F.col("blocks") + turn)  # noqa: E731  the rest that the blocks before b have
+    hashed = lambda b: F.xxhash64("source", "shard", b, F.lit(seed + 4))
+
+    def chosen(b: Column) -> Column:
+        first = F.floor(b / STRETCH) * STRETCH
+        least = F.filter(F.sequence(first, F.least(first + STRETCH, F.col("blocks")) - 1), lambda c: hashed(c) < hashed(b))
+        return F.size(least) < given(first + STRETCH) - given(first)
+
     overlap = lambda b: F.least(F.col("stop"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
     touched = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))
     some = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.aggregate(touched, F.lit(0).cast("long"), lambda a, b: a + F.when(chosen(b), overlap(b)).otherwise(0))).otherwise(0)
-    return laid.select("id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long"), "target", (F.col("rounds") * F.col("size") + some).cast("long").alias("taken"), "source")
+    taken = (F.col("rounds") * F.col("size") + some).cast("long")
+    return laid.select(*sized.columns, F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
 
 
-def repeat(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` in whole copies: taken / size of ``taken`` (id, size, taken), rounded up or down by the seeded hash of the id.
+def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix as rows: ``docs`` (a written table) in whole copies, taken / size of each row, rounded up or down by a seeded hash.
 
-    On the whole a source keeps its taken words. Rows that repeat an id have as many copies as the most taken of them.
+    On the whole a source keeps its taken words. Each row carries its own number, whatever ids repeat or are null.
     """
-    own = list(docs.columns)
-    times, same = free_name(own, "_times"), free_name(own, "_same")
-    ratio = F.col("taken") / F.col("size")
-    spin = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    per = taken.where("taken > 0").withColumn(times, F.floor(ratio + spin).cast("int"))
-    wanted = per.groupBy(F.col(id_col).alias(same)).agg(F.max(times).alias(times)).where(F.col(times) > 0)
-    joined = docs.join(wanted, F.expr(f"`{id_col}` <=> `{same}`"))
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in own))
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    got = mix_sizes(docs.select(*_sized(docs, id_col, source_col, text_col), row), weights, max_epochs, block, seed)
+    spin = F.pmod(F.xxhash64("key", F.lit(seed + 3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.floor(F.col("taken") / F.col("size") + spin).cast("int")
+    many = got.where("taken > 0").withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return many.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

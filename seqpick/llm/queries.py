@@ -61,7 +61,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "new_role", "action", "n_inserted", "rendered")
+    return chat.format_chats(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "part", "place", "role", "new_role", "action", "n_inserted", "rendered")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

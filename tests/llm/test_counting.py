@@ -98,11 +98,40 @@ def test_apportion_is_highest_quotients(spark):
 
 
 def test_repeat_takes_whole_copies(awkward):
-    out = mixing.repeat(awkward, mixing.mix(awkward))
-    assert out.columns == awkward.columns
+    out = mixing.repeat(awkward)
+    assert out.columns == awkward.columns and dict(out.dtypes) == dict(awkward.dtypes)
     assert 0 < out.count() <= 3 * 3 * awkward.count()
 
 
+def test_repeat_keeps_targets_whatever_the_ids(spark):
+    for ids in ([None, None], [5, 5]):
+        df = spark.createDataFrame([(ids[0], "w " * 40, "a"), (ids[1], "v " * 4000, "b")], "doc_id int, text string, source string")
+        got = Counter(r.source for r in mixing.repeat(df).collect())
+        assert got["a"] == 3 and got["b"] in (0, 1)
+
+
+def test_chosen_blocks_against_brute_force(spark, monkeypatch):
+    """One-block documents: which are taken tells which blocks are chosen."""
+    monkeypatch.setattr(mixing, "SHARDS", 1)
+    df = spark.range(301).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), F.lit(mixing.BLOCK)).alias("text"))
+    more = df.unionByName(spark.createDataFrame([(1000, "t", "w " * mixing.BLOCK * 180)], "doc_id long, source string, text string"))
+    rows = [r for r in mixing.mix(more).collect() if r.source == "s"]
+    base, rest = divmod(sum(r.taken for r in rows), 301 * mixing.BLOCK)
+    up = [r.taken // mixing.BLOCK - base for r in rows]
+    assert set(up) <= {0, 1} and sum(up) == rest // mixing.BLOCK and abs(sum(r.taken for r in rows) - rows[0].target) <= mixing.BLOCK
+    # the line in order, and the choice told again: of each stretch its share, those with the least hash
+    line = spark.createDataFrame([(r.doc_id,) for r in rows], "id long").join(more.select(F.col("doc_id").alias("id"), "text"), "id")
+    order = [r.id for r in line.orderBy(F.xxhash64(F.xxhash64("id", "text"), F.lit(mixing.SEED + 1)), "id").collect()]
+    hashed = [r.h for r in spark.range(301).select(F.xxhash64(F.lit("s"), F.lit(0), "id", F.lit(mixing.SEED + 4)).alias("h")).orderBy("id").collect()]
+    turn = spark.range(1).select(F.pmod(F.xxhash64(F.lit("s"), F.lit(0), F.lit(mixing.SEED + 2)), F.lit(1 << 20)) / (1 << 20)).first()[0]
+    want, k = set(), sum(up)
+    for a in range(0, 301, mixing.STRETCH):
+        b = min(a + mixing.STRETCH, 301)
+        q = math.floor(b * k / 301 + turn) - math.floor(a * k / 301 + turn)
+        want |= {order[i] for i in sorted(range(a, b), key=lambda i: hashed[i])[:q]}
+    assert want == {r.doc_id for r, u in zip(rows, up, strict=True) if u}
+
+
 def test_shards_are_exact(awkward, empty):
     for shards in (1, 7, 40):
         got = sharding.deal(awkward, shards).collect()
