@@ -5,14 +5,16 @@ compared. Two that differ in at most r of 64 bits agree on at least two of r + 2
 each is dealt once for every pair of blocks by the bits of those two: that shared masked pattern is
 the top node of an index. Below it the codes are sorted by Gray rank, neighbours form leaves, and
 each upper node holds the bits that all codes under it share; a search adds up the differences on
-its way down and leaves a whole group as soon as they exceed r. A fingerprint has at most 2,080
+its way down and leaves a whole group as soon as they exceed r. Every run of codes with the same
+pattern is a tree of its own, however small, and many trees are searched at once. A fingerprint has at most 2,080
 others within two bits, and a node sends only the edges of a star for each connected part, so no
 group sends all its pairs. ``components`` joins the stars across partitions by alternating star
 contraction; each round is written to the shared folder.
 
-Null and empty texts have no shingles: fingerprint zero, linked like any other. Rows with a null
-id get the component of their fingerprint's other rows, or null. Rows that repeat an id are one
-node. An empty table gives an empty result.
+Nodes are fingerprints (near duplicates: sets of shingles), not ids, so ids may be of any type, repeat
+or be null: a component is named by the least id in it, null if it has none. Null and empty texts have
+no shingles: fingerprint zero, linked like any other. Texts are hashed in slices of bytes, a very long one
+alone. An empty table gives an empty result. Columns other than id and text are not read, so none clashes.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, free_name, stage_table, text_slices, without
+from .common import LOWER, drop_table, free_name, stage_table, text_slices, without
 
 SEED = 42
 SLICE = 4 << 20
-LEAF, FAN = 32, 8
-QUERIES = 2048
+#: Codes of a leaf of the index, nodes under an upper one, and codes that are searched for at a time.
+LEAF, FAN, QUERIES = 4, 4, 2048
+#: Codes of a run that one task holds.
+RUN_ROWS = 1 << 20
 
 
 def shingle_hashes(text: bytes | None, words: int) -> list[int]:
@@ -107,34 +111,51 @@ def gray_rank(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _pieces(starts: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of ``total`` items, cut into pieces of ``size``: where the pieces start, and where the groups start among them."""
+    many = -(-np.diff(np.r_[starts, total]) // size)
+    first = np.cumsum(many) - many
+    return np.repeat(starts - first * size, many) + np.arange(many.sum()) * size, first
+
+
 class GrayIndex:
-    """Codes (rows of 64-bit words) in Gray order under nodes of shared bits. Level 0: leaves of LEAF codes; each level above joins FAN nodes."""
+    """Codes (rows of 64-bit words) in Gray order under nodes of shared bits: a tree for each run of codes.
+
+    Level 0: leaves of LEAF codes; each level above joins FAN nodes, until each run has one.
+    """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
         self.codes = codes
-        starts = np.arange(0, len(codes), LEAF)
-        every, some = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
-        self.levels = [(every, ~(every ^ some))]
-        while len(self.levels[-1][0]) > 1:
-            starts = np.arange(0, len(some), FAN)
-            every, some = np.bitwise_and.reduceat(self.levels[-1][0], starts), np.bitwise_or.reduceat(some, starts)
-            self.levels.append((every, ~(every ^ some)))
-
-    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, code), as indexes, that differ in at most ``radius`` bits."""
-        q = np.arange(len(queries))
-        node, gone, seen = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros_like(queries)
-        for k in range(len(self.levels) - 1, -1, -1):
-            value, shared = self.levels[k]
-            gone = gone + np.bitwise_count((queries[q] ^ value[node]) & shared[node] & ~seen).sum(1, dtype=np.int64)
+        self.run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
+        self.levels = []  # of each node: its bits, which of them are shared, its first child and how many
+        every = some = codes
+        size = LEAF
+        while True:
+            total = len(every)
+            cuts, starts = _pieces(starts, total, size)
+            every, some = np.bitwise_and.reduceat(every, cuts), np.bitwise_or.reduceat(some, cuts)
+            self.levels.append((every, ~(every ^ some), cuts, np.diff(np.r_[cuts, total])))
+            if len(starts) == len(cuts):
+                return
+            size = FAN
+
+    def near(self, a: int, b: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j), as indexes, of codes a to b - 1 with later ones of their run that differ in at most ``radius`` bits."""
+        codes = self.codes
+        q = np.arange(a, b)
+        node, gone, seen = self.run[a:b], np.zeros(b - a, np.int64), np.zeros_like(codes[a:b])
+        last = None
+        for value, shared, first, many in reversed(self.levels):
+            gone = gone + np.bitwise_count((codes[q] ^ value[node]) & shared[node] & ~seen).sum(1, dtype=np.int64)
             keep = gone <= radius
             q, node, gone = q[keep], node[keep], gone[keep]
-            seen = shared[node]
-            size, below = (FAN, len(self.levels[k - 1][0])) if k else (LEAF, len(self.codes))
-            child = (node[:, None] * size + np.arange(size)).ravel()
-            up = np.repeat(np.arange(len(node)), size)[child < below]
-            q, gone, seen, node = q[up], gone[up], seen[up], child[child < below]
-        keep = np.bitwise_count(queries[q] ^ self.codes[node]).sum(1, dtype=np.int64) <= radius
+            seen, n = shared[node], many[node]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            last = np.repeat(first[node], n) + at
+            q, gone, seen, node = np.repeat(q, n), np.repeat(gone, n), np.repeat(seen, n, axis=0), last
+        keep = q < node
+        q, node = q[keep], node[keep]
+        keep = np.bitwise_count(codes[q] ^ codes[node]).sum(1, dtype=np.int64) <= radius
         return q[keep], node[keep]
 
 
@@ -158,20 +179,10 @@ def run_stars(codes: np.ndarray, nodes: np.ndarray, run: np.ndarray, radius: int
     """Edges (node, least node of its part) within each run of equal ``run``; codes (rows of words) in Gray order inside a run."""
     n = len(codes)
     label = np.arange(n)
-    bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
-    sizes = np.diff(bounds)
-    small = np.repeat(sizes <= LEAF, sizes)
-    for step in range(1, min(LEAF, int(sizes[sizes <= LEAF].max(initial=1)))):
-        i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
-        i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(1, dtype=np.int64) <= radius]
-        _contract(label, i, i + step)
-    for k in np.flatnonzero(sizes > LEAF):
-        a, b = bounds[k], bounds[k + 1]
-        index = GrayIndex(codes[a:b])
-        block = max(64, min(QUERIES, (1 << 22) // (b - a)))
-        for at in range(a, b, block):
-            q, c = index.near(codes[at : min(at + block, b)], radius)
-            _contract(label, q + at, c + a)
+    if n:
+        index = GrayIndex(codes, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
+        for at in range(0, n, QUERIES):
+            _contract(label, *index.near(at, min(at + QUERIES, n), radius))
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, nodes)
     root = least[label]
@@ -179,13 +190,16 @@ def run_stars(codes: np.ndarray, nodes: np.ndarray, run: np.ndarray, radius: int
     return nodes[far], root[far]
 
 
-def links(classes: DataFrame, radius: int = 2) -> DataFrame:
+def links(classes: DataFrame, radius: int = 2, run_rows: int = RUN_ROWS) -> DataFrame:
     """(a, b): star edges that connect the same nodes as all links of fingerprints at most ``radius`` bits apart.
 
-    ``classes`` has one row for each distinct fingerprint: fp long, node long.
+    ``classes`` has one row for each distinct fingerprint: fp long, node long. A run of over ``run_rows`` codes is
+    searched in pairs of blocks.
     """
-    dealt = classes.where("node is not null").select("fp", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)))).alias("pair", "bits"))
-    return _stars(dealt.select("pair", "bits", "node", F.col("fp").alias("c0")), 1, radius)
+    masks = _masks(radius)
+    dealt = classes.select("fp", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("pair", "bits"))
+    dealt = dealt.select(F.col("pair").cast("long").alias("pair"), "bits", "node", F.col("fp").alias("c0"))
+    return _stars(_in_blocks(dealt, run_rows, len(masks)), 1, radius)
 
 
 def _stars(dealt: DataFrame, width: int, radius: int) -> DataFrame:
@@ -228,6 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that is connected, for every node of ``edges`` (a, b) but the least ones."""
     edges = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     mark = None
+    before = edges
     while True:
         # large star: each node's greater neighbours go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -237,6 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = stage_table(small.distinct(), "edges")
+        drop_table(before)
+        before = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -245,28 +262,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp long, component) of every row of ``docs``."""
-    rows = stage_table(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "fp", words).select("id", "fp"), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("node"))
-    parts = components(links(classes, radius))
+    rows = stage_table(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp", words).select("id", "fp"), "fingerprints")
+    classes = stage_table(rows.groupBy("fp").agg(F.min("id").alias("id")), "classes")
+    parts = components(links(classes.select("fp", F.col("fp").alias("node")), radius))
+    named = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
+    least = named.groupBy("part").agg(F.min("id").alias("component"))
     # a written table, not an aggregate that lies dealt out by fp already: so the join has two exchanges, and a hot fingerprint's can be split
-    named = stage_table(classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "named")
+    named = stage_table(named.join(least, "part").select("fp", "component"), "named")
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` less all but the least id of each component; of rows that repeat an id one stays. Rows without an id stay."""
-    gone = groups.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    nth = free_name(docs.columns, "_nth")
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    order = Window.partitionBy(id_col).orderBy(*(F.col(c) for c, k in left.dtypes if not k.startswith("map")))
-    named = left.where(F.col(id_col).isNotNull()).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less all but one row of each component: the one with the least id, null last. ``groups``: of ``near_groups``.
+
+    Rows are told apart by id and text, so one id may have texts in several components; of rows that are equal in both one stays.
+    """
+    a, b, nth = (free_name(docs.columns, x) for x in ("_k1", "_k2", "_nth"))
+    stay = groups.where("first").select(F.col("k1").alias(a), F.col("k2").alias(b))
+    left = docs.withColumns(dict(zip((a, b), row_keys(id_col, text_col), strict=True))).join(stay, [a, b], "left_semi")
+    order = Window.partitionBy(a, b).orderBy(*(F.col(f"`{c}`") for c, k in docs.dtypes if "map<" not in k and k != "variant"))
+    return left.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell rows of different ids or texts apart."""
+    ident, text = F.col(id_col), F.col(text_col).cast("string")
+    return F.xxhash64(ident, text), F.xxhash64(text, ident, F.lit(SEED))
 
 
 #: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint, rows of a bin's shingle that come together.
 BINS, WIDE, HOT_RUN = 8, 4, 20_000
-#: Code pairs that are compared at a time, and shingles.
-PAIRS, SHINGLES = 1 << 19, 1 << 20
+#: Code pairs that are compared at a time, and shingles; runs of up to so many codes are compared together.
+PAIRS, SHINGLES, SMALL = 1 << 19, 1 << 20, 32
 
 
 @cache
@@ -314,12 +341,13 @@ def _mark(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bins: int = BINS, width: int = WIDE) -> DataFrame:
-    """(id, mark long, size long, code array<long>, keys array<long>) of each text's set of distinct shingles.
+def sketches(docs: DataFrame, words: int = 5, bins: int = BINS, width: int = WIDE) -> DataFrame:
+    """``docs`` (text last) with mark long, size long, code array<long>, keys array<long> in place of the text: of its set of distinct shingles.
 
     Mark: its identity; code: a fingerprint of ``width`` words; keys: the least hash of each bin (null: empty bin).
     """
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("size", pa.int64()), ("code", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*docs.schema[:-1], *(T.StructField(c, k) for c, k in (("mark", T.LongType()), ("size", T.LongType()), ("code", longs), ("keys", longs)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text", SLICE):
@@ -336,9 +364,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             none = (least == np.iinfo(np.uint64).max).ravel()
             at = np.arange(len(each) + 1)
             lists = [pa.ListArray.from_arrays((at * k).astype(np.int32), v) for k, v in ((width, pa.array(codes.ravel())), (bins, pa.array(least.view(np.int64).ravel(), mask=none)))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_mark(x) for x in each], pa.int64()), pa.array(sizes), *lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([_mark(x) for x in each], pa.int64()), pa.array(sizes), *lists], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, mark long, size long, code array<long>, keys array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -378,12 +406,12 @@ def run_pairs(codes: np.ndarray, sizes: np.ndarray, run: np.ndarray, radius: int
 
     bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
     counts = np.diff(bounds)
-    small = np.repeat(counts <= LEAF, counts)
-    for step in range(1, min(LEAF, int(counts[counts <= LEAF].max(initial=1)))):
+    small = np.repeat(counts <= SMALL, counts)
+    for step in range(1, min(SMALL, int(counts[counts <= SMALL].max(initial=1)))):
         i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
         i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(1, dtype=np.int64) <= radius]
         yield fit(i, i + step)
-    for k in np.flatnonzero(counts > LEAF):
+    for k in np.flatnonzero(counts > SMALL):
         a, b = int(bounds[k]), int(bounds[k + 1])
         block = max(1, PAIRS // (b - a))
         for at in range(a, b, block):
@@ -485,10 +513,10 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _in_blocks(base: DataFrame, hot_run: int) -> DataFrame:
+def _in_blocks(base: DataFrame, hot_run: int, step: int) -> DataFrame:
     """``base`` with the runs of over ``hot_run`` rows cut into blocks of about half as many, each two of which are a run of their own.
 
-    So every two rows of a hot bin still meet, in tasks of bounded rows. Runs are named bin + BINS * (number of the pair of blocks).
+    So every two rows of a hot run still meet, in tasks of bounded rows. Runs are named pair + step * (number of the pair of blocks).
     """
     hot = base.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_run)
     hot = stage_table(hot.select("pair", "bits", F.ceil(F.col("n") * 2 / hot_run).cast("long").alias("blocks")), "hot")
@@ -498,33 +526,36 @@ def _in_blocks(base: DataFrame, hot_run: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cut = base.join(hot, ["pair", "bits"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     two = F.least("_mine", "_other") * F.col("blocks") + F.greatest("_mine", "_other") + 1
-    return cold.unionByName(cut.withColumn("pair", F.col("pair") + BINS * two).select(*cold.columns))
+    return cold.unionByName(cut.withColumn("pair", F.col("pair") + step * two).select(*cold.columns))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot_run: int = HOT_RUN) -> DataFrame:
-    """(id, component): groups of texts that links of exact Jaccard similarity ``similarity`` or more over distinct shingles connect.
+    """(id, component, k1, k2, first): groups of texts that links of exact Jaccard similarity ``similarity`` or more over distinct shingles connect.
 
-    The nodes are distinct sets of shingles. Two meet where the least shingle of one of BINS bins is the same (at 0.8 they miss all with
+    k1, k2: ``row_keys``; first: of its component the row with the least id, null last. The nodes are distinct sets of
+    shingles. Two meet where the least shingle of one of BINS bins is the same (at 0.8 they miss all with
     probability 0.2^8), and are candidates if their 256-bit fingerprints and sizes allow the similarity (``wide_radius``: five standard
     deviations). Only sets with a candidate are sent to their bins whole, and only pairs that are not connected yet are compared there,
     shingle by shingle; so no group sends all its pairs. A bin's shingle that over ``hot_run`` sets share (a line that many texts have) is searched
     in pairs of blocks: all against all, whatever else they share.
     """
     radius = wide_radius(similarity)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage_table(sketches(texts, "id", "text", words), "sketches")
-    classes = stage_table(rows.groupBy("mark").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.max("code").alias("code"), F.max("keys").alias("keys")), "classes")
+    k1, k2 = row_keys(id_col, text_col)
+    texts = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
+    rows = stage_table(sketches(texts, words), "sketches")
+    # nulls last: false sorts before true
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("row")
+    classes = stage_table(rows.groupBy("mark").agg(row, F.max("size").alias("size"), F.max("code").alias("code"), F.max("keys").alias("keys")), "classes")
     code = [F.col("code")[i].alias(f"c{i}") for i in range(WIDE)]
     keys = [F.coalesce(F.col("keys")[i], F.lit(-1)).alias(f"k{i}") for i in range(BINS)]
-    base = classes.select(F.col("mark").alias("node"), "id", "size", *code, *keys, F.posexplode("keys").alias("pair", "bits")).where("bits is not null").withColumn("pair", F.col("pair").cast("long"))
-    found = stage_table(_candidates(_in_blocks(base, hot_run), radius, similarity), "candidates")
-    wanted = found.select("node").distinct().join(classes.select(F.col("mark").alias("node"), "id"), "node")
-    source = texts.join(wanted.where("id is not null").select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
-    # an id may have several texts: the join keeps the ones that are wanted
+    base = classes.select(F.col("mark").alias("node"), "size", *code, *keys, F.posexplode("keys").alias("pair", "bits")).where("bits is not null").withColumn("pair", F.col("pair").cast("long"))
+    found = stage_table(_candidates(_in_blocks(base, hot_run, BINS), radius, similarity), "candidates")
+    wanted = found.select("node").distinct().join(classes.select(F.col("mark").alias("node"), "row.k1", "row.k2"), "node")
+    source = texts.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi")
     sets = _shingle_sets(source, words).groupBy("node").agg(F.first("shingles").alias("shingles"))
     parts = stage_table(components(_exact_stars(found.join(sets, "node").select(*found.columns, "shingles"), radius, similarity)), "parts")
-    named = classes.select("mark", "id").join(parts, F.col("mark") == F.col("node"), "left").select("mark", "id", F.coalesce("component", "mark").alias("part"))
-    named = stage_table(named, "named")
-    least = named.groupBy("part").agg(F.min("id").alias("component"))
-    named = stage_table(named.join(least, "part").select("mark", "component"), "named")
-    return rows.select("id", "mark").join(named, "mark").select("id", "component")
+    named = stage_table(classes.select("mark", "row").join(parts, F.col("mark") == F.col("node"), "left").select("mark", "row", F.coalesce("component", "mark").alias("part")), "named")
+    least = named.groupBy("part").agg(F.min("row").alias("least"))
+    named = stage_table(named.join(least, "part").select("mark", "least"), "named")
+    first = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))
+    return rows.select("id", "k1", "k2", "mark").join(named, "mark").select("id", F.col("least.id").alias("component"), "k1", "k2", first.alias("first"))

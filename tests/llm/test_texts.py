@@ -109,8 +109,15 @@ def test_index_and_runs_against_all_pairs():
             codes[np.arange(len(codes)), rng.integers(0, width, len(codes))] ^= np.uint64(1) << rng.integers(0, 64, len(codes)).astype(np.uint64)
         codes = np.unique(codes, axis=0)
         close = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2) <= radius
-        q, c = simhash.GrayIndex(codes).near(codes, radius)
-        assert set(zip(q.tolist(), c.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+        codes = codes[np.lexsort([c ^ (c >> np.uint64(1)) for c in codes.T])]
+        close = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2) <= radius
+        for starts in ([0], [0, 1, 3, 40, 41, 200]):
+            run = np.searchsorted(starts, np.arange(len(codes)), "right")
+            index = simhash.GrayIndex(codes, np.array(starts))
+            got = set()
+            for a in range(0, len(codes), 50):
+                got |= set(zip(*(x.tolist() for x in index.near(a, min(a + 50, len(codes)), radius)), strict=True))
+            assert got == set(zip(*(x.tolist() for x in np.nonzero(np.triu(close & (run[:, None] == run), 1))), strict=True))
         a, b = simhash.run_stars(codes, np.arange(len(codes)), np.zeros(len(codes), int), radius)
         label = np.arange(len(codes))
         simhash._contract(label, *np.nonzero(close))
@@ -149,7 +156,26 @@ def test_near_groups_by_similarity(spark, hot):
 
 def test_keep_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id bigint, text string")
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(df, simhash.near_groups(df)).collect()) == ["1", "None"]
+    assert [r.doc_id for r in simhash.keep_one(df, simhash.near_groups(df)).collect()] == [1]
+
+
+def test_ids_may_be_strings_repeat_or_be_null(spark):
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o p q"
+    df = spark.createDataFrame([("x", a), ("x", b), (None, b), (None, c), (None, c), ("y", a)], "doc_id string, text string")
+    groups = simhash.near_groups(df)
+    assert sorted((r.id or "", r.component or "") for r in groups.collect()) == [("", ""), ("", ""), ("", "x"), ("x", "x"), ("x", "x"), ("y", "x")]
+    kept = simhash.keep_one(df, groups)
+    assert kept.columns == df.columns and sorted((r.doc_id or "", r.text) for r in kept.collect()) == [("", c), ("x", a), ("x", b)]
+    got = sorted((r.id or "", r.component or "") for r in simhash.group(df).collect())
+    assert got == [("", ""), ("", ""), ("", "x"), ("x", "x"), ("x", "x"), ("y", "x")]
+
+
+def test_runs_of_the_index_may_be_cut(spark):
+    rng = np.random.default_rng(3)
+    codes = np.unique(np.r_[rng.integers(0, 8, 200, dtype=np.int64) << rng.integers(0, 60, 200), rng.integers(0, 2**62, 50)])
+    classes = spark.createDataFrame([(int(c), int(c)) for c in codes], "fp long, node long")
+    parts = [{(r.node, r.component) for r in simhash.components(simhash.links(classes, 2, n)).collect()} for n in (1 << 20, 16)]
+    assert parts[0] == parts[1] and len(parts[0]) > 50
 
 
 def parts_by_jaccard(texts, words=5, similarity=0.8):
