@@ -6,9 +6,10 @@ the calendar. A valid value is a number of some domain (so many digits, so many
 characters of its classes) and is moved inside that domain by a keyed Feistel network with cycle
 walking; check digits are computed anew, separators and case stay. The key and the kind alone
 decide, so equal values have equal pseudonyms in all documents and the owner of the key can go back
-(``restore``).
+(``restore``). E-mail addresses are equal whatever their case, telephone numbers with or without the country 1.
 
-Null texts stay null, empty ones empty; nothing is found in them. Repeated rows get equal results. An
+Where candidates overlap the kind that comes first in ``PATTERNS`` has the place, of one kind the leftmost. Very
+long texts are searched whole, with one byte of marks for each of theirs. Null texts stay null, empty ones empty; nothing is found in them. Repeated rows get equal results. An
 empty table gives an empty result. Input columns named like a result column are replaced.
 """
 
@@ -125,7 +126,9 @@ def _phone(v: bytes, f: Feistel, back: bool) -> bytes | None:
         return None
     fixed = len(d) - 10 + 3 if len(d) <= 11 else len(d) - 8  # country and area stay
     n = len(d) - fixed
-    return _refill(v, d[:fixed] + b"%0*d" % (n, f.move(int(d[fixed:]), 10**n, b"phone" + d[:fixed], back)))
+    # a number with and without the country before its area is one number
+    area = d[1:4] if len(d) == 11 and d[:1] == b"1" else d[:fixed]
+    return _refill(v, d[:fixed] + b"%0*d" % (n, f.move(int(d[fixed:]), 10**n, b"phone" + area, back)))
 
 
 def _ip(v: bytes, f: Feistel, back: bool) -> bytes | None:
@@ -171,7 +174,9 @@ def _classes(v: bytes, f: Feistel, tweak: bytes, back: bool, sets: tuple[bytes,
 
 def _email(v: bytes, f: Feistel, back: bool) -> bytes | None:
     user, _, host = v.partition(b"@")
-    return _classes(user, f, b"email" + host.lower(), back) + b"@" + host
+    new = _classes(user.lower(), f, b"email" + host.lower(), back)
+    # addresses that differ in case are one; each place keeps its case
+    return bytes(n - 32 if 65 <= c <= 90 else n for c, n in zip(user, new, strict=True)) + b"@" + host
 
 
 def _date(v: bytes, f: Feistel, back: bool) -> bytes | None:
@@ -219,7 +224,8 @@ PATTERNS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("card", re.compile(rb"(?<!\d)(?<!\d[.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d|-\d)"), _card),
     ("phone", re.compile(rb"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"), _phone),
 )
-_MAY = re.compile(rb"[0-9@]")
+#: What every candidate holds at least.
+_MAY = re.compile(rb"(?i)[0-9@]|token|secret|passw|api[_-]?key|akia|asia")
 
 
 def pseudonyms(text: bytes, f: Feistel, back: bool = False) -> tuple[bytes, list[str]]:
@@ -227,11 +233,11 @@ def pseudonyms(text: bytes, f: Feistel, back: bool = False) -> tuple[bytes, list
     if not _MAY.search(text):
         return text, []
     spans: list[tuple[int, int, str, bytes]] = []
-    taken = bytearray(len(text)) if len(text) < 1 << 16 else None
+    taken = bytearray(len(text))
     for kind, pattern, move in PATTERNS:
         for m in pattern.finditer(text):
             a, b = m.span(1 if kind in GROUPED else 0)
-            free = not any(taken[a:b]) if taken is not None else not any(x < b and a < y for x, y, _, _ in spans)
+            free = taken.find(1, a, b) < 0
             value = text[a:b]
             new = f.seen.get((kind, value, back)) if free else None
             if free and new is None:
@@ -240,8 +246,7 @@ def pseudonyms(text: bytes, f: Feistel, back: bool = False) -> tuple[bytes, list
                     f.seen[kind, value, back] = new
             if free and new is not None:
                 spans.append((a, b, kind, new))
-                if taken is not None:
-                    taken[a:b] = b"\1" * (b - a)
+                taken[a:b] = b"\1" * (b - a)
     if not spans:
         return text, []
     spans.sort()

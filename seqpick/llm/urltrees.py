@@ -8,10 +8,12 @@ one SQL expression over the features, which judges every URL that no rule fits.
 
 Features: lengths of host, path and query, depth of the path, labels of the host, share of digits,
 entropy of the characters, number of parameters, hyphens, and the smoothed rates of blocked URLs by
-last host label and by first path part in the fitting sample.
+last host label and by first path part in the fitting sample; the trees grow on rates that leave out the
+row's own of ``FOLDS`` folds, so that no label tells its own rate.
 
 A null URL, or one without `://`, has an empty host and path; rules with a non-empty host don't fit
-it and the trees judge it. Repeated rows are judged alike. With no labelled row, or labels of one
+it and the trees judge it. Repeated rows are judged alike, URLs of any length whole; between splits of equal
+gain the first feature and the least cut win. With no labelled row, or labels of one
 kind only, the trees give that kind's verdict, and allow without any. An empty table gives an empty
 result. Input columns named like a result column are replaced.
 """
@@ -19,6 +21,7 @@ result. Input columns named like a result column are replaced.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from .common import free_name, stage_table, without
 #: The labelled rows that the trees are grown from, at most.
 FIT_ROWS = 8192
 TREES, DEPTH, BINS, RATE, LAMBDA, LEAST = 8, 3, 16, 0.4, 1.0, 5.0
-SEED = 613
+SEED, FOLDS = 613, 5
 RESULT = ["host", "path", "rule", "score", "verdict"]
 #: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -83,6 +86,14 @@ def _rates(fit: DataFrame, key: str, prior: float) -> DataFrame:
     return fit.groupBy(key).agg(((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias("rate"))
 
 
+def _other_rates(fit: DataFrame, key: str, prior: float) -> DataFrame:
+    """The same by key and fold, of the rows in other folds."""
+    each = Window.partitionBy(key)
+    per = fit.groupBy(key, "fold").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
+    left = lambda c: F.sum(c).over(each) - F.col(c)
+    return per.select(key, "fold", ((left("s") + 4 * prior) / (left("n") + 4)).alias("rate"))
+
+
 def _bins(fit: DataFrame) -> dict[str, list[float]]:
     """Cut points of each feature, between its distinct values."""
     q = [i / BINS for i in range(1, BINS)]
@@ -98,46 +109,50 @@ def boost(fit: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[float
     base = math.log(ones / (n - ones))
     cuts = _bins(fit)
     binned = fit.select("label", *(sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).cast("int").alias(f) for f in FEATURES))
-    rows = binned.groupBy("label", *FEATURES).agg(F.count("*").cast("double").alias("w"))
-    rows = rows.coalesce(1).withColumn("raw", F.lit(base))
+    # a written table of at most FIT_ROWS rows: one small job a level reads it
+    rows = stage_table(binned.groupBy("label", *FEATURES).agg(F.count("*").cast("double").alias("w")), "boost").coalesce(1)
     forest: list[list[tuple]] = []
     for _ in range(trees):
-        p = 1 / (1 + F.exp(-F.col("raw")))
-        state = stage_table(rows.withColumns({"g": F.col("w") * (p - F.col("label")), "h": F.col("w") * p * (1 - p)}), "boost").coalesce(1)
+        raw = sum((_tree(t, {f: F.col(f) for f in FEATURES}, cuts) for t in forest), F.lit(base))
+        p = 1 / (1 + F.exp(-raw))
+        state = rows.withColumn("p", p).withColumns({"g": F.col("w") * (F.col("p") - F.col("label")), "h": F.col("w") * F.col("p") * (1 - F.col("p"))})
         tree: list[tuple] = []
-        alive, place = {1}, F.lit(1)
+        alive: dict[int, tuple[float, float] | None] = {1: None}  # open nodes and their sums, as their parents' splits tell them
+        place = F.lit(1)
         for level in range(depth + 1):
-            at = state.withColumn("node", place)
-            sums = {r.node: (r.g, r.h) for r in at.groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # 2^depth rows
-            best = {}
-            if level < depth:
-                long = at.select("node", "g", "h", F.posexplode(F.array(*FEATURES)).alias("f", "bin")).groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-                run = Window.partitionBy("node", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-                whole = Window.partitionBy("node", "f")
-                side = long.withColumns({"gl": F.sum("g").over(run), "hl": F.sum("h").over(run), "gt": F.sum("g").over(whole), "ht": F.sum("h").over(whole)})
-                gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-                gain = F.col("gl") ** 2 / (F.col("hl") + LAMBDA) + gr**2 / (hr + LAMBDA) - F.col("gt") ** 2 / (F.col("ht") + LAMBDA)
-                split = side.withColumn("gain", F.round(gain, 9)).where((F.col("hl") > LEAST / 10) & (hr > LEAST / 10) & (F.col("gain") > 1e-6))
-                pick = F.max(F.struct("gain", (-F.col("f")).alias("f"), (-F.col("bin")).alias("bin"))).alias("b")
-                best = {r.node: (-r.b.f, -r.b.bin) for r in split.groupBy("node").agg(pick).collect()}  # 2^depth rows
-            next_place = place
-            for node in sorted(alive):
-                if node in best:
-                    f, b = best[node]
-                    tree.append((node, FEATURES[f], cuts[FEATURES[f]][b]))
-                    next_place = F.when(place == node, F.when(F.col(FEATURES[f]) > b, 2 * node + 1).otherwise(2 * node)).otherwise(next_place)
-                elif node in sums:
-                    g, h = sums[node]
+            best = {r.node: r.b for r in _splits(state.withColumn("node", place)).collect()} if level < depth else {}  # 2^depth rows
+            after, next_place = {}, place
+            for node, sums in sorted(alive.items()):
+                b = best.get(node)
+                if b is None or b.gain is None:
+                    g, h = sums or (b.gt, b.ht)
                     tree.append((node, None, -RATE * g / (h + LAMBDA)))
-            alive = {c for node in best if node in alive for c in (2 * node, 2 * node + 1)}
-            place = next_place
+                    continue
+                f, k = -b.f, -b.bin
+                tree.append((node, FEATURES[f], cuts[FEATURES[f]][k]))
+                after |= {2 * node: (b.gl, b.hl), 2 * node + 1: (b.gt - b.gl, b.ht - b.hl)}
+                next_place = F.when(place == node, F.when(F.col(FEATURES[f]) > k, 2 * node + 1).otherwise(2 * node)).otherwise(next_place)
+            alive, place = after, next_place
             if not alive:
                 break
         forest.append(tree)
-        rows = state.drop("g", "h").withColumn("raw", F.col("raw") + _tree(tree, {f: F.col(f) for f in FEATURES}, cuts))
     return base, forest
 
 
+def _splits(state: DataFrame) -> DataFrame:
+    """(node, b): the best split of each node with its sums; gain null where none is good enough."""
+    long = state.select("node", "g", "h", F.posexplode(F.array(*FEATURES)).alias("f", "bin")).groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    run = Window.partitionBy("node", "f").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("node", "f")
+    side = long.withColumns({"gl": F.sum("g").over(run), "hl": F.sum("h").over(run), "gt": F.sum("g").over(whole), "ht": F.sum("h").over(whole)})
+    gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
+    gain = F.round(F.col("gl") ** 2 / (F.col("hl") + LAMBDA) + gr**2 / (hr + LAMBDA) - F.col("gt") ** 2 / (F.col("ht") + LAMBDA), 9)
+    good = (F.col("hl") > LEAST / 10) & (hr > LEAST / 10) & (gain > 1e-6)
+    side = side.withColumn("gain", F.when(good, gain))
+    # nulls sort first, so a split that is good enough wins
+    return side.groupBy("node").agg(F.max(F.struct("gain", (-F.col("f")).alias("f"), (-F.col("bin")).alias("bin"), "gl", "hl", "gt", "ht")).alias("b"))
+
+
 def _tree(tree: list[tuple], col: dict[str, Column], cuts: dict[str, list[float]] | None = None) -> Column:
     """A tree as nested CASE WHEN. ``cuts``: the columns hold bins, not values."""
     by = {node: (f, v) for node, f, v in tree}
@@ -151,6 +166,56 @@ def _tree(tree: list[tuple], col: dict[str, Column], cuts: dict[str, list[float]
     return build(1)
 
 
+class Model(NamedTuple):
+    base: float
+    forest: list[list[tuple]]
+    prior: float
+    #: (suffix_key, rate) and (part_key, rate), at most FIT_ROWS rows each.
+    suffix: DataFrame
+    part: DataFrame
+
+
+def fit(labelled: DataFrame) -> Model:
+    """The trees and rates of a small table (url, label)."""
+    sample = labelled.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    sample = lexical(sample, "url", "host", "path", {k: k for k in [*FEATURES, "suffix_key", "part_key"]})
+    rows = sample.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
+    n, ones = rows.agg(F.count("*"), F.sum("label")).first()
+    prior = ones / n if n else 0.0
+    for key, name in (("suffix_key", "suffix_rate"), ("part_key", "part_rate")):
+        rows = rows.join(F.broadcast(_other_rates(rows, key, prior).withColumnRenamed("rate", name)), [key, "fold"])
+    base, forest = boost(stage_table(rows.select("label", *FEATURES), "urlfit").coalesce(1))
+    return Model(base, forest, prior, _rates(sample, "suffix_key", prior), _rates(sample, "part_key", prior))
+
+
+def score(df: DataFrame, model: Model, url: str, host: str, path: str, names: dict[str, str]) -> tuple[DataFrame, Column]:
+    """``df`` with the features in columns ``names``, and the Column of the probability that a URL is to be blocked."""
+    df = lexical(df, url, host, path, names)
+    for stats, k, f in ((model.suffix, "suffix_key", "suffix_rate"), (model.part, "part_key", "part_rate")):
+        df = df.join(F.broadcast(stats.select(F.col(k).alias(names[k]), F.col("rate").alias(names[f]))), names[k], "left").fillna(model.prior, [names[f]])
+    raw = sum((_tree(t, {f: F.col(names[f]) for f in FEATURES}) for t in model.forest), F.lit(model.base))
+    return df, 1 / (1 + F.exp(-raw))
+
+
+def known_urls(pages: DataFrame, url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(url, label; 1: block): at most ``fit_rows`` of the URLs that a rule decides and of ``labelled``, as a written table."""
+    url = F.col(url_col).cast("string")
+    pick = pages.select(url.alias("url"), _rule(host_of(url), path_of(url), rules).alias("pick"))
+    known = pick.where("pick is not null").select("url", (F.col("pick.verdict") == "block").cast("int").alias("label"))
+    if labelled is not None:
+        known = known.unionByName(labelled.select(F.col("url").cast("string"), F.col("label").cast("int")).dropna())
+    return stage_table(known.orderBy(F.xxhash64("url", F.lit(SEED)), "url", "label").limit(fit_rows), "urls").coalesce(1)
+
+
+def held_out_accuracy(known: DataFrame) -> float:
+    """The share of a fifth of the labelled URLs (by host) that trees grown from the others judge as labelled."""
+    fold = F.pmod(F.xxhash64(host_of(F.col("url")), F.lit(SEED + 2)), F.lit(FOLDS))
+    model = fit(known.where(fold != 0))
+    rest = known.where(fold == 0).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    rest, p = score(rest, model, "url", "host", "path", {k: k for k in [*FEATURES, "suffix_key", "part_key"]})
+    return rest.agg(F.avg(((p > 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
+
+
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``pages`` with RESULT. ``labelled``: url, label (1: block), further labelled URLs."""
     pages = without(pages, RESULT)
@@ -159,24 +224,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, labelled: DataFra
     names = {k: free_name(taken, f"_{k}") for k in [*FEATURES, "suffix_key", "part_key", "pick"]}
     url = F.col(url_col).cast("string")
     df = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn(names["pick"], _rule(F.col("host"), F.col("path"), rules))
-
-    plain = {k: k for k in [*FEATURES, "suffix_key", "part_key"]}
-    known = df.where(F.col(names["pick"]).isNotNull()).select(url.alias("url"), (F.col(names["pick"])["verdict"] == "block").cast("int").alias("label"))
-    if labelled is not None:
-        known = known.unionByName(labelled.select(F.col("url").cast("string"), F.col("label").cast("int")).dropna())
-    key = F.xxhash64("url", F.lit(SEED))
-    sample = stage_table(known.orderBy(key, "url", "label").limit(fit_rows).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))), "urls").coalesce(1)
-    n, ones = sample.agg(F.count("*"), F.sum("label")).first()
-    prior = ones / n if n else 0.0
-    fit = lexical(sample, "url", "host", "path", plain)
-    suffix, part = _rates(fit, "suffix_key", prior), _rates(fit, "part_key", prior)
-    fit = fit.join(F.broadcast(suffix.withColumnRenamed("rate", "suffix_rate")), "suffix_key").join(F.broadcast(part.withColumnRenamed("rate", "part_rate")), "part_key")
-    base, forest = boost(stage_table(fit.select("label", *FEATURES), "urlfit").coalesce(1))
-
-    df = lexical(df, url_col, "host", "path", names)
-    for stats, k, f in ((suffix, "suffix_key", "suffix_rate"), (part, "part_key", "part_rate")):
-        df = df.join(F.broadcast(stats.select(F.col(k).alias(names[k]), F.col("rate").alias(names[f]))), names[k], "left").fillna(prior, [names[f]])  # at most FIT_ROWS rows
-    raw = sum((_tree(t, {f: F.col(names[f]) for f in FEATURES}) for t in forest), F.lit(base))
-    df = df.withColumn("score", 1 / (1 + F.exp(-raw))).withColumn("rule", F.col(names["pick"])["rule"])
+    df, p = score(df, fit(known_urls(pages, url_col, rules, labelled, fit_rows)), url_col, "host", "path", names)
+    df = df.withColumn("score", p).withColumn("rule", F.col(names["pick"])["rule"])
     df = df.withColumn("verdict", F.coalesce(F.col(names["pick"])["verdict"], F.when(F.col("score") > 0.5, "block").otherwise("allow")))
     return df.select(*(F.col(f"`{c}`") for c in own), *RESULT)

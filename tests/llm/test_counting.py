@@ -170,6 +170,47 @@ def test_matrix_sums():
     assert abs(np.mean(draw) - 2000) < 10
 
 
+def test_large_draws_have_the_law():
+    rng = np.random.default_rng(0)
+    got = np.bincount([sharding._draw_large(rng, 30, 70, 20) for _ in range(6000)], minlength=21)
+    want = np.array([math.comb(30, k) * math.comb(70, 20 - k) / math.comb(100, 20) for k in range(21)]) * 6000
+    full = want > 5
+    assert ((got - want)[full] ** 2 / want[full]).sum() < 40
+    assert sharding._draw_large(rng, 5, 3, 8) == 5 and sharding._draw_large(rng, 0, 3, 2) == 0
+
+
+def test_matrix_has_the_law():
+    """Two blocks into two shards: the first cell against the hypergeometric weights, over seeds."""
+    got = Counter(int(sharding.matrix(np.array([6, 4]), 2, seed)[0, 0]) for seed in range(4000))
+    for k in range(1, 6):
+        want = math.comb(5, k) * math.comb(5, 6 - k) / math.comb(10, 6) * 4000
+        assert abs(got[k] - want) < 5 * want**0.5 + 5
+
+
+def test_every_row_may_come_anywhere(spark):
+    """Over seeds, each of eight rows falls into each of four shards about as often."""
+    df = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    seen = Counter()
+    for seed in range(12):
+        for r in sharding.deal(df, 4, seed=seed * 17).collect():
+            seen[r.doc_id] += 1 << (8 * r.shard)
+    assert all(sum(v >> (8 * s) & 255 for s in range(4)) == 12 and sum((v >> (8 * s) & 255) > 0 for s in range(4)) >= 2 for v in seen.values())
+
+
+def test_shards_by_wide_numbers_and_of_one_id(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") * 0).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for stride in (sharding.STRIDE, 2):
+        monkeypatch.setattr(sharding, "STRIDE", stride)
+        got = sharding.deal(df, 7).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        assert sorted(map(len, by.values())) == [428] * 3 + [429] * 4 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    blocks = df.groupBy(F.pmod(F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(sharding.SEED)), F.lit(30))).count()
+    assert blocks.count() == 30  # one id, but many blocks
+
+
 def brute_base(rows):
     """The contract's unigram figures."""
     toks = {i: [*(t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split(), b"\n"] for i, (_, t) in enumerate(rows)}
@@ -297,6 +338,36 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert got[None].kept == got[1].kept
 
 
+def test_forest_against_plain_recursion(spark):
+    """Path lengths told node by node, the threshold from the scores of good rows, and the verdicts that follow."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(("x#" if i % 9 == 0 else "word") + "y" * int(rng.integers(1, 5)) for _ in range(int(rng.integers(10, 60))))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    forest = quality.fit(df, spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(200)], "doc_id bigint, quality int"))
+
+    def path(node, x):
+        while forest["feature"][node] >= 0:
+            node = forest["left"][node] + int(x[forest["feature"][node]] >= forest["cut"][node])
+        return forest["depth"][node]
+
+    def mean_depth(n):  # of an unsuccessful search in a tree of n points
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    scores, good = {}, []
+    for i, t in rows:
+        counts = brute_stats(t)
+        n = counts[0]
+        rate = [counts[1] / n, -counts[1] / n, *(c / n for c in counts[2:])]
+        x = [math.sqrt(max(r - v, 0)) for r, v in zip(rate, forest["levels"], strict=True)]
+        scores[i] = 2 ** -(sum(path(r, x) for r in forest["roots"]) / len(forest["roots"]) / mean_depth(quality.SUBSAMPLE))
+        if i % 9 and n >= 10 and 100 * counts[4] <= 20 * n:
+            good.append(scores[i])
+    top = sorted(good)[math.ceil((1 - quality.SPARE) * (len(good) - 1))]
+    assert forest["threshold"] == pytest.approx(max(top, float(np.median(list(scores.values())))), abs=1e-8)
+    for r in quality.judge(df, forest).collect():
+        assert r.anomaly == pytest.approx(scores[r.doc_id]) and r.kept == (not r.base_failed and r.anomaly <= forest["threshold"])
+
+
 def test_quality_without_labels_or_rows(spark, empty, awkward):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     for lab in (none, None):

@@ -38,14 +38,19 @@ def test_majority(runs):
 
 
 @given(WORDS, st.lists(WORDS, max_size=4))
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 def test_machines_find_every_window(words, items):
     texts = [(i, b" ".join(w)) for i, w in enumerate(items)]
-    spans, found = [], set()
+    docs = [words, [], words[::-1], words[:2]]
+    spans = set()
+    flat, bounds = [w for d in docs for w in d], np.cumsum([0, *map(len, docs)])
     for m in decontam.machines(texts, 3):
-        m.search(words, spans, found)
-    want = {(i, i + len(g)) for w in items for g in decontam.windows(w, 3) for i in range(len(words) - len(g) + 1) if tuple(words[i : i + len(g)]) == g}
-    assert set(spans) == want
+        end, pattern = m.search(flat, decontam.Hashes().of(flat), bounds)
+        spans |= {(e - m.length, e, i) for e, p in zip(end.tolist(), pattern.tolist(), strict=True) for i in m.items[m.cuts[p] : m.cuts[p + 1]].tolist()}
+    want = set()
+    for d, at in zip(docs, bounds.tolist(), strict=False):
+        want |= {(at + i, at + i + len(g), k) for k, w in enumerate(items) for g in decontam.windows(w, 3) for i in range(len(d) - len(g) + 1) if tuple(d[i : i + len(g)]) == g}
+    assert spans == want
 
 
 @given(st.lists(st.integers(0, 5), min_size=30, max_size=30), st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
