@@ -12,7 +12,8 @@ partition repairs and renders its own turns.
 Roles are matched without case and outer white space; `human` and `prompter` are user, `bot`, `gpt` and `model`
 assistant, `developer` system; any other or a null role fits user and assistant alike at ``RELABEL``. A null
 text is an empty turn. Turns with equal numbers go by role and text. A null conversation id is a conversation. Repeated rows are
-turns like others (mostly merged). An empty table gives an empty result.
+turns like others (mostly merged), and may lie in several partitions. Texts of any length are only joined. An empty
+table gives an empty result. Other columns of the input are not read, so none clashes.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, total_text_bytes
 
 RELABEL, MERGE, INSERT = 4.0, 1.0, 3.0
+#: Text of a range partition, where ``spark.sql.shuffle.partitions`` gives fewer.
+PART_BYTES = 64 << 20
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "developer": "system"}
 #: States: 0 before the first turn, then the last turn's role. LEGAL[s]: what a next turn may be.
@@ -158,10 +161,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     shared_dir(spark)
     kinds = dict(turns.dtypes)
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_text_bytes(turns, text_col) // PART_BYTES))
     order = ["conv", "turn", "role", "text"]
-    # checkpoint() keeps the partitions and their order, which the two passes rely on
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
+    # the last key splits rows that are equal in all; checkpoint() keeps the partitions and their order, which the two passes rely on
+    rows = rows.withColumn("any", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, *order, "any").sortWithinPartitions(*order).drop("any").checkpoint()
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, last = TaskContext.get().partitionId(), [], None

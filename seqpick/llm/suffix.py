@@ -9,13 +9,14 @@ suffix prefixes of any length; the reversed left sides give the same for extensi
 window of LENGTH words is repeated where both its sides fall together in two texts; a passage is the union of such
 windows over all its retained places. The occurrence with the least id is the first; others are removed.
 
-A gram in over ``HOT_ROWS`` places doesn't come together in one task: its windows are dealt by their own
-hash, counted with partial sums, and joined back, with the same result.
+A gram in over ``HOT_ROWS`` places doesn't come together in one task: its windows are dealt by 128 bits of
+hash of all their words, counted with partial sums, and joined back, with the same result.
 
 Exact copies are one text, searched once, and stand for passages too: of at least LENGTH words, all
 but the least id's copy are removed whole. Null, empty and shorter texts: no passages. Rows with a
-null id are not searched. Repeated rows give repeated rows. Repeats inside one text are left alone. An
-empty table gives an empty result.
+null id are not searched. Ids are of any type that has an order. Repeated rows give repeated rows. Repeats
+inside one text are left alone. A very long text is hashed whole, alone in its slice, and sends its places in batches.
+An empty table gives an empty result. Only id and text are read, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ SLICE = 4 << 20
 PIECE = 1 << 14
 #: Rows of a batch that a task sends on.
 SEND = 1 << 14
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -53,12 +54,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _rolling(word: np.ndarray, size: int) -> np.ndarray:
+def _rolling(word: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """A hash of each run of ``size`` words, from prefix sums modulo 2^64."""
     n = len(word)
     with np.errstate(over="ignore"):
-        up = _powers(n, _BASE)
-        down = _powers(n, pow(_BASE, -1, 1 << 64))
+        up = _powers(n, base)
+        down = _powers(n, pow(base, -1, 1 << 64))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * up, dtype=np.uint64)])
         return _mixed((total[size:] - total[: n - size + 1]) * down[: n - size + 1])
 
@@ -189,13 +190,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     count = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     table = stage_table(rows.select("id", "t", count.alias("n_words")), "suffix-docs")
     firsts = table.where("id is not null").groupBy("t").agg(F.min("id").alias("doc"), F.count("*").alias("copies"))
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        firsts = firsts.withColumn("ord", F.col("doc").cast("long"))
+    else:  # numbers in the order of the ids
+        firsts = stage_table(firsts.orderBy("doc", "t").withColumn("ord", F.monotonically_increasing_id()), "suffix-firsts")
 
     samples = stage_table(_samples(rows.where("id is not null"), length, gram).distinct(), "suffix-samples")
     often = samples.groupBy("gram").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("gram", (F.col("n") > hot_rows).alias("hot"))
     # written first: the join below then has an exchange on either side, and a hot gram's partition can be split
     often = stage_table(often, "suffix-often")
     active = samples.join(often, "gram").groupBy("t").agg(F.collect_list(F.struct("pos", "gram", "hot")).alias("places"))
-    wanted = active.join(firsts.select("t", "doc"), "t")
+    wanted = active.join(firsts.select("t", "doc", "ord"), "t")
     found = rows.join(wanted.withColumnRenamed("doc", "id"), ["id", "t"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +222,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     np.add.at(mark, np.minimum(np.maximum(hot + gram - length, 0), len(mark) - 1), 1)
                     np.add.at(mark, np.minimum(hot, len(words) - length) + 1, -1)
                     starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                    wide = _rolling(_word_hashes(words, {}), length).view(np.int64)[starts]
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(np.full(n, doc)), pa.array(wide), pa.array(starts.astype(np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.ones(n, bool))], names=names)
+                    each = _word_hashes(words, {})
+                    wide, more = (_rolling(each, length, b).view(np.int64)[starts] for b in (_BASE, _OTHER_BASE))
+                    for a in range(0, len(starts), SEND):
+                        some = slice(a, a + SEND)
+                        n = len(starts[some])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(np.full(n, doc)), pa.array(wide[some]), pa.array(starts[some].astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(more[some].astype(">i8").view("S8"), pa.binary()), pa.array(np.ones(n, bool))], names=names)
                 for p in places:
                     if not p["hot"]:
                         at = p["pos"]
@@ -231,7 +239,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield send()
 
     names, kinds = ["t", "doc", "gram", "pos", "left", "right", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-    around = found.select("t", F.col("id").cast("long").alias("doc"), "places", "text").mapInArrow(cut, "t long, doc long, gram long, pos int, left binary, right binary, hot boolean")
+    around = found.select("t", F.col("ord").alias("doc"), "places", "text").mapInArrow(cut, "t long, doc long, gram long, pos int, left binary, right binary, hot boolean")
     around = stage_table(around, "suffix-places")
     near = around.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram")
 
@@ -258,31 +266,48 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield from work(pa.Table.from_batches(held))
 
     spans = near.mapInArrow(match, "t long, doc long, start long, stop long, first boolean")
-    hot = around.where("hot").select("t", "doc", "gram", F.col("pos").cast("long").alias("start")).distinct()
-    classes = hot.groupBy("gram").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("doc").alias("least")).where("a <> b").select("gram", "least")
-    spans = spans.unionByName(hot.join(stage_table(classes, "suffix-hot"), "gram").select("t", "doc", "start", (F.col("start") + length).alias("stop"), (F.col("doc") == F.col("least")).alias("first")))
+    hot = around.where("hot").select("t", "doc", "gram", F.col("right").alias("more"), F.col("pos").cast("long").alias("start")).distinct()
+    classes = hot.groupBy("gram", "more").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("doc").alias("least")).where("a <> b").select("gram", "more", "least")
+    spans = spans.unionByName(hot.join(stage_table(classes, "suffix-hot"), ["gram", "more"]).select("t", "doc", "start", (F.col("start") + length).alias("stop"), (F.col("doc") == F.col("least")).alias("first")))
 
     pair = F.struct("start", "stop")
     each = spans.groupBy("t").agg(F.collect_set(pair).alias("spans"), F.collect_set(F.when(~F.col("first"), pair)).alias("removed"))
-    each = stage_table(firsts.join(each, "t", "left"), "suffix-texts")
+    each = stage_table(firsts.select("t", "doc", "copies").join(_united(each), "t", "left"), "suffix-texts")
     out = table.join(each, "t", "left")
     copy = (F.col("copies") > 1) & (F.col("n_words") >= length) & F.col("id").isNotNull()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    some = lambda c: F.when(F.col("id").isNull(), none).otherwise(F.coalesce(_union(c), none))
+    some = lambda c: F.when(F.col("id").isNull(), none).otherwise(F.coalesce(F.col(c), none))
     out = out.withColumns({"spans": F.when(copy, whole).otherwise(some("spans")), "removed": F.when(copy & (F.col("id") != F.col("doc")), whole).otherwise(some("removed"))})
     words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return out.select(F.col("id").alias(id_col), "n_words", words("spans").alias("n_repeated"), words("removed").alias("n_removed"), "spans", "removed")
 
 
-def _union(spans: str):
-    """Disjoint sorted spans with the same words."""
+def _united(each: DataFrame) -> DataFrame:
+    """(t, spans, removed) with disjoint sorted spans of the same words."""
+    pair = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+
+    def disjoint(column: pa.ListArray) -> pa.ListArray:
+        flat, size = column.flatten(), np.diff(column.offsets.to_numpy())
+        start, stop = (flat.field(i).to_numpy() for i in (0, 1))
+        row = np.repeat(np.arange(len(column)), size)
+        order = np.lexsort((start, row))
+        start, stop, row = start[order], stop[order], row[order]
+        # the farthest stop so far in a row: rows are set apart by more than any place
+        far = int(stop.max(initial=0)) + 1
+        reach = np.maximum.accumulate(stop + row * far) - row * far if len(row) else stop
+        new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > reach[:-1])][: len(row)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:] - 1, len(row) - 1][: len(first)]
+        at = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(column)))].astype(np.int32)
+        return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(start[first]), pa.array(reach[last])], fields=list(pair)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), disjoint(b.column(1)), disjoint(b.column(2))], names=["t", "spans", "removed"])
+
     kind = "array<struct<start:bigint,stop:bigint>>"
-    step = f"""aggregate(array_sort({spans}), cast(array() as {kind}), (a, x) ->
-        if(size(a) > 0 and element_at(a, -1).stop >= x.start,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop)))),
-           concat(a, array(x))))"""
-    return F.expr(step)
+    return each.mapInArrow(run, f"t long, spans {kind}, removed {kind}")
 
 
 def strip(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -278,6 +278,9 @@ def test_passages_against_brute_force(spark, hot):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, spans string")
     got = sorted((r.doc_id, r.n_words, r.n_repeated, r.n_removed) for r in suffix.passages(df, hot_rows=hot).collect() if r.doc_id is not None)
     assert got == brute_passages(rows, 50)
+    named = df.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+    by_name = sorted((int(r.doc_id), r.n_words, r.n_repeated, r.n_removed) for r in suffix.passages(named, hot_rows=hot).collect() if r.doc_id is not None)
+    assert by_name == got
     if hot > 1:
         stripped = suffix.strip(df, suffix.passages(df))
         n = {r.doc_id: len((r.text or "").split()) for r in stripped.where("doc_id is not null").collect()}
@@ -571,3 +574,10 @@ def test_format_chats(spark):
         # a merged turn may be relabelled too; its action says merge
         assert cost == (chat.total(roles)[0] + chat.CLOSE_COST).min()
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_equal_turns_lie_in_several_partitions(spark):
+    df = spark.createDataFrame([(1, 1, "user", "same")] * 3000 + [(1, 2, "assistant", "end")], "conv_id int, turn int, role string, text string").repartition(4)
+    got = chat.format_chats(df).orderBy("part", "place").collect()
+    assert len({r.part for r in got}) > 1 and [r.action for r in got] == ["keep"] + ["merge"] * 2999 + ["keep"]
+    assert "".join(r.rendered for r in got) == "<|user|>\n" + "\n".join(["same"] * 3000) + "\n<|end|>\n<|assistant|>\nend\n<|end|>\n"
