@@ -519,9 +519,10 @@ def _in_blocks(base: DataFrame, hot_run: int, step: int) -> DataFrame:
     So every two rows of a hot run still meet, in tasks of bounded rows. Runs are named pair + step * (number of the pair of blocks).
     """
     hot = base.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot_run)
-    hot = stage_table(hot.select("pair", "bits", F.ceil(F.col("n") * 2 / hot_run).cast("long").alias("blocks")), "hot")
-    if not hot.take(1):
+    hot = hot.select("pair", "bits", F.ceil(F.col("n") * 2 / hot_run).cast("long").alias("blocks"))
+    if hot.isEmpty():
         return base
+    hot = stage_table(hot, "hot")
     cold = base.join(hot, ["pair", "bits"], "left_anti")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cut = base.join(hot, ["pair", "bits"]).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
