@@ -37,6 +37,8 @@ BLOCK_BYTES = 16 << 20
 SLICE = 4 << 20
 #: Places of a document that one stretch of the search covers.
 STRETCH = 256
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+LONG = 32
 #: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after A-Z are lower-cased; all others become spaces.
 TO_WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -52,15 +54,30 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-class Hashes(dict):
-    """XXH64 of words, each counted out once."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The words of texts, as places in one buffer, with a 64-bit hash each. Text i has the words bounds[i] to bounds[i + 1] - 1."""
+
+    def __init__(self, texts: list[bytes | None]):
+        each = [(t or b"").translate(TO_WORDS) for t in texts]
+        self.buffer = b" ".join(each)
+        a = np.frombuffer(self.buffer, np.uint8)
+        edge = np.flatnonzero(np.diff(np.r_[False, a != 0x20, False].astype(np.int8)))
+        self.start, self.stop = edge[::2], edge[1::2]
+        self.bounds = np.searchsorted(self.start, np.cumsum([0, *(len(t) + 1 for t in each)]))
+        size = self.stop - self.start
+        self.hash = size.astype(np.uint64)
+        at = np.arange(len(size))
+        with np.errstate(over="ignore"):
+            for k in range(LONG):
+                at = at[size[at] > k]
+                if not len(at):
+                    break
+                self.hash[at] = (self.hash[at] ^ a[self.start[at] + k]) * np.uint64(0x9DDFEA08EB382D69)
+        for i in at[size[at] > LONG].tolist():
+            self.hash[i] = xxhash.xxh64_intdigest(self.buffer[self.start[i] : self.stop[i]], 7)
+
+    def phrase(self, a: int, b: int) -> bytes:
+        return b" ".join(self.buffer[self.start[a] : self.stop[b - 1]].split())
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,11 +97,9 @@ class Machine:
     def __init__(self, items: list[tuple[int, list[bytes]]], length: int):
         self.length, self.block = length, min(2, length)
         self.most = length - self.block + 1
-        words = [w for _, ws in items for w in ws]
-        self.text = b" ".join(words)
-        self.place = np.cumsum([0, *(len(w) + 1 for w in words)], dtype=np.int32 if len(self.text) < 1 << 31 else np.int64)
-        h = Hashes().of(words)
-        sizes = np.array([len(ws) for _, ws in items])
+        words = Words([b" ".join(ws) for _, ws in items])
+        self.text, h, sizes = words.buffer, words.hash, np.diff(words.bounds)
+        self.place = np.r_[words.start, len(self.text) + 1].astype(np.int32 if len(self.text) < (1 << 31) - 1 else np.int64)
         count = sizes - length + 1
         start = np.repeat(np.cumsum(sizes) - sizes, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = np.repeat(np.array([k for k, _ in items], np.int32), count)
@@ -97,8 +112,8 @@ class Machine:
         # equal windows are one pattern, with the items of all
         whole = reduce(_mix, (h[start + j] for j in range(length)))
         _, first, pattern = np.unique(whole, return_index=True, return_inverse=True)
-        if any((h[start + j] != h[start[first[pattern]] + j]).any() for j in range(length)):
-            raise ValueError("two windows have one hash")
+        if any((h[start + j] != h[start[first[pattern]] + j]).any() for j in range(length)):  # two windows have one hash
+            _, first, pattern = np.unique([words.phrase(i, i + length) for i in start.tolist()], return_index=True, return_inverse=True)
         of = np.unique(np.stack([pattern.astype(np.int32), item]), axis=1)
         self.items, self.cuts = of[1], np.searchsorted(of[0], np.arange(len(first) + 1)).astype(np.int32)
         bucket = self._bucket(ends, start[first] + length)
@@ -109,10 +124,10 @@ class Machine:
         """The suffix block and the first block of windows that end before ``stop``."""
         return _mix(ends[stop - 1], ends[stop - self.length + self.block - 1])
 
-    def search(self, words: list[bytes], h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(end, pattern) of all occurrences in documents: document i has the words bounds[i] to bounds[i + 1] - 1, of hashes ``h``."""
-        ends = _blocks(h, self.block)
-        first, last = bounds[:-1] + self.length, bounds[1:]
+    def search(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(end, pattern) of all occurrences."""
+        ends = _blocks(words.hash, self.block)
+        first, last = words.bounds[:-1] + self.length, words.bounds[1:]
         many = np.maximum(-(-(last - first + 1) // STRETCH), 0)
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at = np.repeat(first, many) + nth * STRETCH
@@ -132,7 +147,7 @@ class Machine:
         some = hi > lo
         hits = []
         for e, a, b in zip(end[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
-            have = b" ".join(words[e - self.length : e])
+            have = words.phrase(e - self.length, e)
             for p in self.pattern[a:b].tolist():
                 s = int(self.start[p])
                 if have == self.text[self.place[s] : self.place[s + self.length] - 1]:
@@ -151,19 +166,16 @@ def machines(items: list[tuple[int, bytes | None]], size: int = WINDOW) -> list[
 
 def occurrences(texts: list[bytes | None], model: list[Machine]) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
     """The words of each text as bounds, which of all words lie in an occurrence, and each text's items."""
-    each = [words_of(t) for t in texts]
-    bounds = np.cumsum([0, *map(len, each)])
-    words = [w for ws in each for w in ws]
-    h = Hashes().of(words)
-    edge = np.zeros(len(words) + 1, np.int64)
+    words = Words(texts)
+    edge = np.zeros(len(words.start) + 1, np.int64)
     items: list[set[int]] = [set() for _ in texts]
     for m in model:
-        end, pattern = m.search(words, h, bounds)
+        end, pattern = m.search(words)
         np.add.at(edge, end - m.length, 1)
         np.add.at(edge, end, -1)
-        for d, p in set(zip((np.searchsorted(bounds, end, "left") - 1).tolist(), pattern.tolist(), strict=True)):
+        for d, p in set(zip((np.searchsorted(words.bounds, end, "left") - 1).tolist(), pattern.tolist(), strict=True)):
             items[d].update(m.items[m.cuts[p] : m.cuts[p + 1]].tolist())
-    return bounds, np.cumsum(edge[:-1]) > 0, items
+    return words.bounds, np.cumsum(edge[:-1]) > 0, items
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

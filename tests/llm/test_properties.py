@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from seqpick.llm import chat, common, ctw, decontam, pii, quality, sharding, simhash, suffix
 
-WORDS = st.lists(st.sampled_from([b"a", b"b", b"c", b"dd"]), max_size=60)
+WORDS = st.lists(st.sampled_from([b"a", b"b", b"c", b"dd", b"e" * 40]), max_size=60)
 
 
 @given(st.integers(1, 10**24), st.integers(0), st.binary(max_size=4))
@@ -43,9 +43,10 @@ def test_machines_find_every_window(words, items):
     texts = [(i, b" ".join(w)) for i, w in enumerate(items)]
     docs = [words, [], words[::-1], words[:2]]
     spans = set()
-    flat, bounds = [w for d in docs for w in d], np.cumsum([0, *map(len, docs)])
+    all_words, bounds = decontam.Words([b"-".join(d) for d in docs]), np.cumsum([0, *map(len, docs)])
+    assert (all_words.bounds == bounds).all()
     for m in decontam.machines(texts, 3):
-        end, pattern = m.search(flat, decontam.Hashes().of(flat), bounds)
+        end, pattern = m.search(all_words)
         spans |= {(e - m.length, e, i) for e, p in zip(end.tolist(), pattern.tolist(), strict=True) for i in m.items[m.cuts[p] : m.cuts[p + 1]].tolist()}
     want = set()
     for d, at in zip(docs, bounds.tolist(), strict=False):
