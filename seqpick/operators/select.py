@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import filled, rank
 from . import cluster as C
-from .kmers import containment_matrix, kmer_codes
-
-MEMBERS = "stratum string, rep_id string, member_id string, is_rep boolean, cutoff double, trimmed_from int, note string"
+from . import cover
+from .cover import MEMBERS
+from .kmers import containment, kmer_codes
 
 
 def priority(order: tuple[str, ...] = ("refseq", "reviewed_uniprot", "longest"), body: str = "sequence") -> list[Column]:
@@ -48,16 +48,26 @@ def by_fields(values: dict[str, Column]) -> Column:
     return F.concat_ws("|", *(F.concat(F.lit(f"{k}="), v) for k, v in values.items()))
 
 
+def _pool(df: DataFrame, key: Column, body: str) -> DataFrame:
+    """(stratum, id, sequence, flags, input_ord, size of the stratum)."""
+    rows = df.withColumn("stratum", key).select("stratum", F.col("id").cast("string").alias("id"), F.col(body).alias("sequence"), *(c for c in ("is_refseq", "is_reviewed") if c in df.columns), "input_ord")
+    return rows.join(rows.groupBy("stratum").agg(F.count("*").alias("size")), "stratum")
+
+
+def _large(sized: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows of strata above GROUP_ROWS, and their names: few, as each has more records than that."""
+    rows = sized.where(F.col("size") > C.GROUP_ROWS)
+    return rows, [r.stratum for r in rows.select("stratum").distinct().orderBy("stratum").collect()]
+
+
 def stratified(df: DataFrame, key: Column, n: int, cfg: C.Config | None = None, body: str = "sequence") -> DataFrame:
     """About ``n`` representatives of each stratum: (stratum, rep_id, member_id, is_rep, cutoff, trimmed_from, note).
 
     Strata of up to n records are kept whole, each its own cluster; those of up to GROUP_ROWS are searched as
-    one group; larger ones are sampled farthest-first over the table and every member goes to its nearest pick.
+    one group each; larger ones by the same rules over the table (``cover``), with the same result.
     """
     cfg = cfg or C.Config()
-    rows = df.withColumn("stratum", key).select("stratum", F.col("id").cast("string").alias("id"), F.col(body).alias("sequence"), *(F.col(c) for c in ("is_refseq", "is_reviewed") if c in df.columns), "input_ord")
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))
-    sized = rows.join(sizes, "stratum")
+    sized = _pool(df, key, body)
     null = lambda k: F.lit(None).cast(k)
     whole = sized.where(F.col("size") <= n).select("stratum", F.col("id").alias("rep_id"), F.col("id").alias("member_id"), F.lit(True).alias("is_rep"), null("double").alias("cutoff"), null("int").alias("trimmed_from"), null("string").alias("note"))
 
@@ -65,71 +75,80 @@ def stratified(df: DataFrame, key: Column, n: int, cfg: C.Config | None = None,
         pool = C.Pool(pdf, cfg)
         return C.members(pool, C.reduce_to(pool, n), pdf["stratum"].iat[0])
 
-    some = sized.where((F.col("size") > n) & (F.col("size") <= C.GROUP_ROWS)).drop("size").groupBy("stratum").applyInPandas(one, MEMBERS)
-    out = whole.unionByName(some)
-    for r in sizes.where(F.col("size") > C.GROUP_ROWS).collect():  # few: each has more than GROUP_ROWS records
-        out = out.unionByName(sample_large(rows.where(F.col("stratum") == r.stratum), r.stratum, n, cfg))
+    searched = sized.where(F.col("size") > n)
+    out = whole.unionByName(searched.where(F.col("size") <= C.GROUP_ROWS).drop("size").groupBy("stratum").applyInPandas(one, MEMBERS))
+    rows, names = _large(searched)
+    if names:
+        large = cover.near(rows, cfg, max(C.LOWEST, cfg.floor))
+        for name in names:
+            mine = rows.where(F.col("stratum") == name)
+            out = out.unionByName(cover.reduce_to(large.only(name), mine, n, lambda r, k: farthest(r, k, cfg)))
     return out
 
 
-def sample_large(rows: DataFrame, stratum: str, n: int, cfg: C.Config) -> DataFrame:
-    """A stratum of any size: farthest-first picks by one aggregate each; distances in Arrow batches."""
+def farthest(rows: DataFrame, n: int, cfg: C.Config) -> DataFrame:
+    """(id, pick): the longest record, then again and again the one farthest from all picks; each record with its nearest pick.
+
+    For pools of any size: a pick is one aggregate, distances are counted in Arrow batches. Ties go to the first record.
+    """
     k = cfg.size
 
-    def distance_to(body: str) -> Column:
+    def distance_to(body: str | None) -> Column:
         target = kmer_codes(body, k)
 
         @F.pandas_udf("double")
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: float(containment_matrix([target, kmer_codes(t, k)])[0, 1]))
+            return pd.Series([containment(target, kmer_codes(t, k)) for t in s], dtype=float)
 
         return run("sequence")
 
-    picks: list = []
-    state = rows.withColumn("_d", F.lit(2.0)).withColumn("_rep", F.lit(None).cast("string"))
+    state = rows.select("id", "sequence", "input_ord", F.lit(2.0).alias("d"), F.lit(None).cast("string").alias("pick"), F.lit(None).cast("long").alias("ord"))
     for i in range(n):
-        best = state.orderBy(F.length("sequence").desc(), "input_ord").first() if not i else state.where("_d >= 0").orderBy(F.desc("_d"), "input_ord").first()
+        first = [F.length("sequence").desc_nulls_last()] if not i else [F.desc("d")]
+        best = state.where("d >= 0").orderBy(*first, "input_ord", "id").first()
         if best is None:
             break
-        picks.append(best.id)
-        d = distance_to(best.sequence)
-        state = state.withColumn("_new", F.when(F.col("id") == best.id, -1.0).otherwise(d)).withColumn("_rep", F.when((F.col("_d") >= 0) & (F.col("_new") < F.col("_d")), F.lit(best.id)).otherwise(F.col("_rep"))).withColumn("_d", F.least("_d", "_new")).drop("_new")
+        new = F.when(F.col("id") == best.id, -1.0).otherwise(distance_to(best.sequence))
+        state = state.withColumn("new", new)
+        nearer = (F.col("d") >= 0) & ((F.col("new") < F.col("d")) | ((F.col("new") == F.col("d")) & (F.lit(best.input_ord) < F.col("ord"))))
+        state = state.withColumns({"pick": F.when(nearer, best.id).otherwise(F.col("pick")), "ord": F.when(nearer, best.input_ord).otherwise(F.col("ord")), "d": F.least("d", "new")}).drop("new")
         if i % 8 == 7:
-            state = state.checkpoint()
-    return state.select(F.lit(stratum).alias("stratum"), F.col("_rep").alias("rep_id"), F.col("id").alias("member_id"), (F.col("id") == F.col("_rep")).alias("is_rep"), F.lit(None).cast("double").alias("cutoff"), F.lit(None).cast("int").alias("trimmed_from"), F.lit(f"sampled from {len(picks)} picks").alias("note"))
+            state = cover.cut(state)
+    return state.select("id", "pick")
 
 
 def diversity_curve(df: DataFrame, key: Column, cfg: C.Config | None = None, body: str = "sequence", least: int = 2) -> DataFrame:
-    """(stratum, cutoff, n_clusters) of every stratum of ``least`` records or more.
-
-    Strata above GROUP_ROWS are compared in pairs of blocks; only their near pairs come together, to be covered as in one group.
-    """
+    """(stratum, cutoff, n_clusters) of every stratum of ``least`` records or more; those above GROUP_ROWS are covered over the table."""
     cfg = cfg or C.Config()
     schema = "stratum string, cutoff double, n_clusters int"
-    rows = df.withColumn("stratum", key).select("stratum", F.col("id").cast("string").alias("id"), F.col(body).alias("sequence"), "input_ord")
-    sized = rows.join(rows.groupBy("stratum").agg(F.count("*").alias("size")).where(F.col("size") >= least), "stratum")
-    some = sized.where(F.col("size") <= C.GROUP_ROWS).drop("size").groupBy("stratum").applyInPandas(lambda pdf: C.curve(C.Pool(pdf, cfg), pdf["stratum"].iat[0]), schema)
-    large = sized.where(F.col("size") > C.GROUP_ROWS).withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("input_ord", "id")) - 1)
-    blocks = F.ceil(F.col("size") * 2 / C.GROUP_ROWS).cast("long")
-    dealt = large.withColumn("mine", F.pmod(F.col("place"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-    pairs = dealt.groupBy("stratum", "low", "high").applyInPandas(lambda pdf: C.near_pairs(pdf, cfg), "stratum string, a int, b int, share double")
-    nodes = large.select("stratum", "place", F.coalesce(F.length("sequence"), F.lit(0)).alias("length"))
-    return some.unionByName(nodes.groupBy("stratum").cogroup(pairs.groupBy("stratum")).applyInPandas(lambda n, p: C.sparse_curve(n, p, cfg), schema))
+    sized = _pool(df, key, body).where(F.col("size") >= least)
+    out = sized.where(F.col("size") <= C.GROUP_ROWS).drop("size").groupBy("stratum").applyInPandas(lambda pdf: C.curve(C.Pool(pdf, cfg), pdf["stratum"].iat[0]), schema)
+    rows, names = _large(sized)
+    if names:
+        large = cover.near(rows, cfg, max(min(cfg.curve), cfg.floor))
+        for c in sorted(set(cfg.curve)):
+            if c < cfg.floor:
+                got = large.nodes.select("stratum").distinct().withColumn("n_clusters", F.lit(None).cast("int"))
+            else:
+                got = cover.clusters(large, c).groupBy("stratum").agg(F.countDistinct("rep").cast("int").alias("n_clusters"))
+            out = out.unionByName(got.select("stratum", F.lit(c).alias("cutoff"), "n_clusters"))
+    return out
 
 
 def global_threshold(df: DataFrame, threshold: float, cfg: C.Config | None = None, body: str = "sequence") -> DataFrame:
-    """One stratum clustered at a fixed threshold; for pools of up to GROUP_ROWS."""
+    """All records as one stratum, clustered at a fixed threshold."""
     cfg = cfg or C.Config()
-    if df.count() > C.GROUP_ROWS:
-        raise ValueError(f"more than {C.GROUP_ROWS} records: stratify first, or use a count")
-    rows = df.select(F.lit("all").alias("stratum"), F.col("id").cast("string").alias("id"), F.col(body).alias("sequence"), *(c for c in ("is_refseq", "is_reviewed") if c in df.columns), "input_ord")
+    rows = _pool(df, F.lit("all"), body)
+    large, names = _large(rows)
+    if names:
+        got = cover.near(large, cfg, threshold)
+        return cover.members(got, cover.elected(got, cover.clusters(got, threshold)), threshold)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pool = C.Pool(pdf, cfg)
         return C.members(pool, C.Found(pool.clusters(threshold), threshold), "all")
 
-    return rows.groupBy("stratum").applyInPandas(one, MEMBERS)
+    return rows.drop("size").groupBy("stratum").applyInPandas(one, MEMBERS)
 
 
 def nested(df: DataFrame, levels: list[tuple[Column, int]], cfg: C.Config | None = None, body: str = "sequence") -> DataFrame:
