@@ -110,15 +110,23 @@ def merge_labels(labels: Column, new: Column, overwrite: bool = True) -> Column:
     return F.map_zip_with(low, high, lambda _, x, y: F.coalesce(y, x))
 
 
+#: Targets that meet every query at once.
+TARGETS = 10_000
+
+
 def nearest(queries: DataFrame, targets: DataFrame, distance: Column, order: str = "ord") -> DataFrame:
-    """(query, target, d): the closest target of each query, the earliest of equals. ``targets`` is a small table of checked size.
+    """(query, target, d): the closest target of each query, the earliest of equals.
 
-    ``queries``: query, q; ``targets``: target, ord, t; ``distance`` over q and t.
+    ``queries``: query, q; ``targets``: target, ord, t; ``distance`` over q and t. Every query meets every target: in blocks
+    of about TARGETS, each broadcast in its turn, keeping one row for each query by a partial aggregate.
     """
-    n = targets.count()
-    if n > 10_000:
-        raise ValueError(f"{n} targets; nearest is for at most 10,000")
-    # every query meets each of a bounded number of targets, and keeps one by a partial aggregate
-    pairs = queries.crossJoin(F.broadcast(targets)).withColumn("d", distance)
-    best = pairs.groupBy("query").agg(F.min(F.struct("d", order, "target")).alias("b"))
-    return best.select("query", F.col("b.target").alias("target"), F.col("b.d").alias("d"))
+    blocks = max(1, -(-targets.count() // TARGETS))
+    found = None
+    for k in range(blocks):
+        some = targets if blocks == 1 else targets.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == k)
+        pairs = queries.crossJoin(F.broadcast(some)).withColumn("d", distance)
+        best = pairs.groupBy("query").agg(F.min(F.struct("d", order, "target")).alias("b"))
+        found = best if found is None else found.unionByName(best)
+    if blocks > 1:
+        found = found.groupBy("query").agg(F.min("b").alias("b"))
+    return found.select("query", F.col("b.target").alias("target"), F.col("b.d").alias("d"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..schema import free_name
 
 #: Stages that a protect list may name, in order.
 STAGES = ("duplicates", "length", "ambiguous", "annotation", "protein_count", "taxonomy_consistency", "protein_quality", "hmm", "marker_quality")
@@ -23,35 +24,64 @@ class Stage(NamedTuple):
     protected: DataFrame
 
 
-def protect_flag(df: DataFrame, protect: DataFrame | None, stage: str, stages: tuple[str, ...] = STAGES) -> DataFrame:
-    """``df`` with `_protected`: an identifier is on the list (`id`), or its isolate has such a record."""
+def isolate_or_row() -> Column:
+    """The isolate as a key to join by; records without one spread by their own id, which no isolate has."""
+    return F.coalesce(F.col("isolate_id").cast("string"), F.concat(F.lit("\0"), F.col("id").cast("string")))
+
+
+def join_isolates(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``facts`` (isolate_id, …; one row each) by isolate, null elsewhere."""
+    key = free_name([*df.columns, *facts.columns], "_isolate")
+    return df.withColumn(key, isolate_or_row()).join(facts.withColumn(key, F.col("isolate_id").cast("string")).drop("isolate_id"), key, "left").drop(key)
+
+
+def protect_flag(df: DataFrame, protect: DataFrame | None, stage: str, stages: tuple[str, ...] = STAGES, name: str = "_protected") -> DataFrame:
+    """``df`` with ``name``: an identifier is on the list (`id`), or its isolate has such a record."""
     if protect is None or stage not in stages:
-        return df.withColumn("_protected", F.lit(False))
-    keys = protect.select(X.match_key(F.col("id")).alias("_key")).where("_key is not null").distinct().withColumn("_hit", F.lit(True))
+        return df.withColumn(name, F.lit(False))
+    key, hit = (free_name([*df.columns, name], x) for x in ("_key", "_hit"))
+    keys = protect.select(X.match_key(F.col("id")).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(hit, F.lit(True))
     names = [c for c in ("accession", "id", "isolate_id") if c in df.columns]
-    out = df.withColumn("_protected", F.lit(False))
-    for n in names:  # the list is small: each is a broadcast join, and keys are distinct
-        out = out.withColumn("_key", X.match_key(F.col(n))).join(keys, "_key", "left").withColumn("_protected", F.col("_protected") | F.col("_hit").isNotNull()).drop("_key", "_hit")
+    out = df.withColumn(name, F.lit(False))
+    for n in names:  # keys are distinct, so no row is doubled
+        out = out.withColumn(key, X.match_key(F.col(n))).join(keys, key, "left").withColumn(name, F.col(name) | F.col(hit).isNotNull()).drop(key, hit)
     if "isolate_id" in names:
-        whole = F.max("_protected").over(Window.partitionBy("isolate_id"))
-        out = out.withColumn("_protected", F.when(F.col("isolate_id").isNull(), F.col("_protected")).otherwise(whole))
+        whole = out.where(F.col(name) & F.col("isolate_id").isNotNull()).select("isolate_id").distinct().withColumn(hit, F.lit(True))
+        out = join_isolates(out, whole).withColumn(name, F.col(name) | F.col(hit).isNotNull()).drop(hit)
     return out
 
 
 def gate(df: DataFrame, stage: str, reason: Column, protect: DataFrame | None = None) -> Stage:
     """Removes the rows whose ``reason`` is not null."""
-    flagged = protect_flag(df, protect, stage).withColumn("_reason", reason)
-    log = lambda rows: rows.select("id", F.lit(stage).alias("stage"), F.col("_reason").alias("reason"))
-    kept = flagged.where("_reason is null or _protected").select(*df.columns)
-    return Stage(kept, log(flagged.where("_reason is not null and not _protected")), log(flagged.where("_reason is not null and _protected")))
+    held, why = free_name(df.columns, "_protected"), free_name(df.columns, "_reason")
+    flagged = protect_flag(df.withColumn(why, reason), protect, stage, name=held)
+    log = lambda rows: rows.select("id", F.lit(stage).alias("stage"), F.col(why).alias("reason"))
+    kept = flagged.where(F.col(why).isNull() | F.col(held)).select(*df.columns)
+    return Stage(kept, log(flagged.where(F.col(why).isNotNull() & ~F.col(held))), log(flagged.where(F.col(why).isNotNull() & F.col(held))))
+
+
+def best_copy(df: DataFrame, name: str, body: str = "sequence", best: tuple[str, ...] = ("is_refseq", "is_reviewed"), order: str = "input_ord") -> DataFrame:
+    """``df`` with ``name``: the id of the best record with its body, where that is another record.
+
+    Flags in order, then the first seen. A null body is nobody's copy. Copies are counted by digest and length with
+    partial sums; only digests that occur twice come back, so a body of many copies never lies in one task.
+    """
+    digest, n, top = (free_name([*df.columns, name], x) for x in ("_digest", "_n", "_top"))
+    text = F.col(body)
+    keyed = df.withColumn(digest, F.concat_ws(":", F.md5(text), F.length(text).cast("string")))
+    # a record without a body has its own key
+    keyed = keyed.withColumn(digest, F.when(text.isNull(), F.concat(F.lit("null:"), F.col("id").cast("string"))).otherwise(F.col(digest)))
+    rank = F.struct(*(F.when(F.col(b), 0).when(~F.col(b), 1).otherwise(2).alias(f"f{i}") for i, b in enumerate(best)), F.col(order).alias("ord"), F.col("id").alias("id"))
+    tops = keyed.where(text.isNotNull()).groupBy(digest).agg(F.min(rank).alias(top), F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
+    other = ~(F.col(top)["id"].eqNullSafe(F.col("id")) & F.col(top)["ord"].eqNullSafe(F.col(order)))
+    return keyed.join(tops, digest, "left").withColumn(name, F.when(F.col(top).isNotNull() & other, F.col(top)["id"].cast("string"))).select(*df.columns, name)
 
 
 def exact_duplicates(df: DataFrame, protect: DataFrame | None = None, body: str = "sequence", best: tuple[str, ...] = ("is_refseq", "is_reviewed"), order: str = "input_ord") -> Stage:
     """Of equal bodies the best stays: flags in order, then the first seen. Reason `exact_duplicate_of:<id>`."""
-    w = Window.partitionBy(F.md5(F.col(body)), F.length(body)).orderBy(*(F.col(b).desc_nulls_last() for b in best), order)
-    ranked = df.withColumn("_nth", F.row_number().over(w)).withColumn("_best", F.first("id").over(w))
-    out = gate(ranked, "duplicates", F.when(F.col("_nth") > 1, F.concat(F.lit("exact_duplicate_of:"), F.col("_best").cast("string"))), protect)
-    return Stage(out.kept.drop("_nth", "_best"), out.removed, out.protected)
+    name = free_name(df.columns, "_best")
+    out = gate(best_copy(df, name, body, best, order), "duplicates", F.concat(F.lit("exact_duplicate_of:"), F.col(name)), protect)
+    return Stage(out.kept.drop(name), out.removed, out.protected)
 
 
 def length_reason(n: Column, lo: int | None, hi: int | None) -> Column:
@@ -90,18 +120,20 @@ def protein_quality(df: DataFrame, most: float = 0.05, protect: DataFrame | None
     bad = F.when(F.col("proteins").isNotNull() & (worst > most), worst)
     reason = F.when(bad.isNotNull(), F.format_string("bad_protein:%.4f", bad))
     if segmented:
-        isolate = Window.partitionBy("isolate_id")
-        sibling = F.when(F.col("isolate_id").isNotNull() & (F.max(bad).over(isolate) > most), F.lit("bad_protein_sibling"))
-        reason = F.coalesce(reason, sibling)
+        name = free_name(df.columns, "_sibling")
+        failed = df.where(bad.isNotNull() & F.col("isolate_id").isNotNull()).select("isolate_id").distinct().withColumn(name, F.lit("bad_protein_sibling"))
+        got = gate(join_isolates(df, failed), "protein_quality", F.coalesce(reason, F.col(name)), protect)
+        return Stage(got.kept.drop(name), got.removed, got.protected)
     return gate(df, "protein_quality", reason, protect)
 
 
 def taxonomy_consistency(df: DataFrame, label: Column, protect: DataFrame | None = None) -> Stage:
     """An isolate with two labels or more (case and blanks aside) is removed; records without isolate pass."""
     norm = F.nullif(F.regexp_replace(F.lower(F.trim(label)), r"\s+", " "), F.lit(""))
-    w = Window.partitionBy("isolate_id")
-    lo, hi = F.min(norm).over(w), F.max(norm).over(w)
-    return gate(df, "taxonomy_consistency", F.when(F.col("isolate_id").isNotNull() & (lo != hi), F.lit("inconsistent_taxonomy")), protect)
+    name = free_name(df.columns, "_mixed")
+    mixed = df.where(F.col("isolate_id").isNotNull()).groupBy("isolate_id").agg((F.min(norm) != F.max(norm)).alias(name)).where(name)
+    got = gate(join_isolates(df, mixed), "taxonomy_consistency", F.when(F.col(name), F.lit("inconsistent_taxonomy")), protect)
+    return Stage(got.kept.drop(name), got.removed, got.protected)
 
 
 def blocklist(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,11 +156,10 @@ def run_basic(df: DataFrame, cfg: dict, protect: DataFrame | None = None) -> Sta
     first reason that isn't protected, and is told as protected at those before.
     """
     reasons: list[tuple[str, Column]] = []
+    copy, held, fell_at = (free_name(df.columns, x) for x in ("_best", "_protected", "_f"))
     if cfg.get("remove_duplicates", True):
-        w = Window.partitionBy(F.md5("sequence"), F.length("sequence")).orderBy(F.col("is_refseq").desc_nulls_last(), F.col("is_reviewed").desc_nulls_last(), "input_ord")
-        best = F.first("id").over(w)
-        df2 = df.withColumn("_nth", F.row_number().over(w)).withColumn("_best", best)
-        reasons.append(("duplicates", F.when(F.col("_nth") > 1, F.concat(F.lit("exact_duplicate_of:"), F.col("_best").cast("string")))))
+        df2 = best_copy(df, copy)
+        reasons.append(("duplicates", F.concat(F.lit("exact_duplicate_of:"), F.col(copy))))
     else:
         df2 = df
     lo, hi = cfg.get("min_length"), cfg.get("max_length")
@@ -139,17 +170,17 @@ def run_basic(df: DataFrame, cfg: dict, protect: DataFrame | None = None) -> Sta
     if cfg.get("annotation_filter", True):
         hit = X.keyword_hit(F.col("description"), F.col("header"), tuple(cfg.get("keywords", X.KEYWORDS)))
         reasons.append(("annotation", F.when(hit.isNotNull(), F.concat(F.lit("annotation_keyword:"), hit))))
-    rows = protect_flag(df2, protect, "duplicates")
+    rows = protect_flag(df2, protect, "duplicates", name=held)
     # a protected row falls nowhere and is told at every stage; another falls at its first reason, and no later one is evaluated
     first = F.coalesce(*(F.when(r.isNotNull(), F.struct(F.lit(stage).alias("stage"), r.alias("reason"))) for stage, r in reasons))
-    fell = rows.where("not _protected").withColumn("_f", first)
+    fell = rows.where(~F.col(held)).withColumn(fell_at, first)
     every = F.array_compact(F.array(*(F.when(r.isNotNull(), F.struct(F.lit(stage).alias("stage"), r.alias("reason"))) for stage, r in reasons)))
-    removed = fell.where("_f is not null").select("id", "_f.stage", "_f.reason")
+    told = lambda df: df.select("id", F.col(fell_at)["stage"].alias("stage"), F.col(fell_at)["reason"].alias("reason"))
+    removed = told(fell.where(F.col(fell_at).isNotNull()))
     if protect is None:
-        return Stage(fell.where("_f is null").select(*df.columns), removed, removed.limit(0))
-    kept = rows.withColumn("_f", F.when(~F.col("_protected"), first)).where("_f is null").select(*df.columns)
-    held = rows.where("_protected").select("id", F.explode(every).alias("_f")).select("id", "_f.stage", "_f.reason")
-    return Stage(kept, removed, held)
+        return Stage(fell.where(F.col(fell_at).isNull()).select(*df.columns), removed, removed.limit(0))
+    kept = rows.withColumn(fell_at, F.when(~F.col(held), first)).where(F.col(fell_at).isNull()).select(*df.columns)
+    return Stage(kept, removed, told(rows.where(F.col(held)).select("id", F.explode(every).alias(fell_at))))
 
 
 def counters(log: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def henikoff(cols: DataFrame) -> DataFrame:
     n = cols.groupBy("col", "ch").agg(F.count("*").alias("n"))
     k = n.groupBy("col").agg(F.count("*").alias("k"))
     w = cols.join(n, ["col", "ch"]).join(k, "col").groupBy("id").agg(F.sum(1.0 / (F.col("k") * F.col("n"))).alias("w"))
-    return w.select("id", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("w"))
+    total = w.agg(F.sum("w").alias("total"))  # one row
+    return w.crossJoin(F.broadcast(total)).select("id", (F.col("w") / F.col("total")).alias("w"))
 
 
 def conservation(msa: DataFrame, protein: bool | None = None) -> DataFrame:
@@ -65,10 +66,11 @@ def conservation_score(per_column: DataFrame) -> DataFrame:
 def supermatrix(parts: DataFrame) -> DataFrame:
     """(id, row, n_parts) of partitions (part, id, row): joined in order of parts, gaps where an id lacks one."""
     width = parts.groupBy("part").agg(F.max(F.length("row")).alias("w"))
-    ids = parts.select("id").distinct()
-    grid = ids.join(F.broadcast(width)).join(parts, ["id", "part"], "left")  # partitions: a few rows
-    cell = F.struct("part", F.coalesce("row", F.expr("repeat('-', w)")).alias("row"))
-    return grid.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["row"]), "").alias("row"), F.count("row").alias("n_parts"))
+    # the widths are one row, an array of all partitions; each id's own are put into it
+    widths = width.agg(F.array_sort(F.collect_list(F.struct("part", "w"))).alias("widths"))
+    own = parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "row"))).alias("own"), F.count("row").alias("n_parts"))
+    cell = lambda x: F.coalesce(F.col("own")[x["part"]], F.repeat(F.lit("-"), x["w"].cast("int")))
+    return own.crossJoin(F.broadcast(widths)).select("id", F.array_join(F.transform("widths", cell), "").alias("row"), "n_parts")
 
 
 def partition_ranges(parts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bind, cluster, isolates, markers, qc, reports, select
+from ..operators import bind, cluster, cover, isolates, markers, qc, reports, select
 from ..schema import REPORT_RANKS, as_records, rank
 
 MODES = ("global", "taxonomic1", "taxonomic2", "host", "time", "geographic", "custom", "hybrid")
@@ -168,10 +168,11 @@ def run(records: DataFrame, cfg: Config, table: DataFrame | None = None, exclude
 
 
 def doctor(spark) -> dict[str, str]:
-    """A self-test: versions, Arrow, and a written and read table in the shared folder."""
+    """A self-test: versions, Arrow, SQL, and a table that is checkpointed in the shared folder and read again."""
     import pyarrow
 
     out = {"spark": spark.version, "pyarrow": pyarrow.__version__}
     out["arrow udf"] = "ok" if spark.range(3).mapInArrow(lambda it: it, "id long").count() == 3 else "failed"
+    out["shared folder"] = "ok" if cover.cut(spark.range(3)).count() == 3 else "failed"
     out["sql"] = "ok" if spark.sql("select 1").first()[0] == 1 else "failed"
     return out

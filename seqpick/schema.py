@@ -43,3 +43,11 @@ def rank(taxonomy: str, name: str) -> Column:
     """A rank's label: a standard rank has its field alone, any other the lineage map alone."""
     t = F.col(taxonomy)
     return filled(t[name]) if name in STANDARD_RANKS else filled(F.try_element_at(t["lineage"], F.lit(name)))
+
+
+def free_name(taken: list[str], base: str) -> str:
+    """``base``, or with underscores before it, so that no column in ``taken`` has the name (in any case)."""
+    low = {x.lower() for x in taken}
+    while base.lower() in low:
+        base = "_" + base
+    return base

@@ -205,9 +205,27 @@ def test_profile_and_tidy(records):
     assert len(rows) == 4 and rows[0].asDict().keys() == dict.fromkeys(reports.TIDY).keys()
 
 
-def test_nearest_refuses_many_targets(spark):
-    q = spark.createDataFrame([("q", 1.0)], "query string, q double")
-    t = spark.createDataFrame([("b", 1, 2.0), ("a", 0, 0.0)], "target string, ord int, t double")
-    assert bind.nearest(q, t, F.abs(F.col("q") - F.col("t"))).first().target == "a"  # a tie goes to the earlier one
-    with pytest.raises(ValueError, match="at most"):
-        bind.nearest(q, spark.range(10001).select("id"), F.lit(0))
+def test_records_without_a_body_are_nobodys_copy(records):
+    df = records({"sequence": None}, {"sequence": None}, {"sequence": "MK"}, {"sequence": "MK", "is_refseq": True}, {"sequence": ""}, {"sequence": ""}).withColumn("_best", F.lit("own"))
+    got = qc.exact_duplicates(df)
+    assert sorted(r.id for r in got.kept.collect()) == ["r0", "r1", "r3", "r4"] and set(got.kept.columns) == set(df.columns)
+    assert {(r.id, r.reason) for r in got.removed.collect()} == {("r2", "exact_duplicate_of:r3"), ("r5", "exact_duplicate_of:r4")}
+    basic = qc.run_basic(df, {"annotation_filter": False, "ambiguous_threshold": 1.0})
+    assert sorted(r.id for r in basic.kept.collect()) == ["r0", "r1", "r3", "r4"]
+
+
+def test_isolates_are_joined_not_windowed(records):
+    df = records({"isolate_id": "a", "organism": "x"}, {"isolate_id": "a", "organism": "y"}, {"isolate_id": "b", "organism": "x"}, {"organism": "x"}, {"organism": "y"})
+    got = qc.taxonomy_consistency(df, F.col("organism"))
+    assert sorted(r.id for r in got.removed.collect()) == ["r0", "r1"] and got.kept.count() == 3
+    assert "Window" not in got.kept._jdf.queryExecution().optimizedPlan().toString()
+    protect = df.sparkSession.createDataFrame([("r0",)], "id string")
+    assert sorted(r.id for r in qc.taxonomy_consistency(df, F.col("organism"), protect).kept.collect()) == [f"r{i}" for i in range(5)]
+
+
+def test_nearest_among_many_targets(spark, monkeypatch):
+    monkeypatch.setattr(bind, "TARGETS", 3)
+    q = spark.createDataFrame([(i, float(i)) for i in range(20)], "query int, q double")
+    t = spark.createDataFrame([(i, i, i * 3.0) for i in range(8)], "target int, ord int, t double")
+    got = {r.query: r.target for r in bind.nearest(q, t, F.abs(F.col("q") - F.col("t"))).collect()}
+    assert got == {i: min(range(8), key=lambda k: (abs(i - 3 * k), k)) for i in range(20)}
