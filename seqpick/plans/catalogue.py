@@ -31,10 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalogue_inputs  # noqa: F401  registers its own
+
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in _QUERIES.items() if s}
 
 
@@ -395,22 +398,6 @@ def q_subsample_keep_reps(spark, sf_dir):
     return select.subsample(rows, F.col("rep"), 200, "doc_id").select(F.col("doc_id").alias("id"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT label, min(vec_id) AS v FROM embeddings GROUP BY label), a AS (SELECT l.label, e.embedding FROM l JOIN embeddings e ON e.vec_id = l.v),
-pair AS (SELECT x.label AS i, y.label AS j, round(list_sum(list_transform(range(1, 65), lambda k: (CAST(x.embedding[k] AS DOUBLE) - CAST(y.embedding[k] AS DOUBLE)) ** 2)), 4) AS d FROM a x, a y),
-walk AS (SELECT 1 AS pick, [(SELECT min(label) FROM a)] AS got UNION ALL
-  SELECT pick + 1, list_append(got, (SELECT i FROM (SELECT i, min(d) AS d FROM pair WHERE list_contains(got, j) AND NOT list_contains(got, i) GROUP BY i) ORDER BY d DESC, i LIMIT 1)) FROM walk WHERE pick < 5)
-SELECT got[pick] AS label, CAST(pick AS INT) AS pick FROM walk""")
-def q_maxmin(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    pool = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.drop("label"), "vec_id").select("label", "embedding")
-
-    def distance(row):
-        target = F.array(*(F.lit(float(x)) for x in row["embedding"]))
-        return F.round(F.aggregate(F.zip_with("embedding", target, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x), 4)
-
-    return kmers.farthest_first(pool, 5, "label", distance, (F.col("label").asc(),))
-
-
 # --- clustering -------------------------------------------------------------------------------------
 
 _CLUSTER = cluster.Config(protein=True, overflow="trim")
