@@ -243,10 +243,12 @@ def isolate_gate(df: DataFrame, specs: dict[str, tuple[str, ...]], prefix: str =
 
         return pd.Series([one(s, p) for s, p in zip(segment, proteins, strict=True)])
 
-    part = Window.partitionBy("isolate_key", "segment").orderBy(F.length("sequence").desc(), "input_ord")
+    # records without an isolate pass, and spread by their own ids
+    key = F.coalesce(F.col("isolate_key").cast("string"), F.concat(F.lit("\0"), F.col("id").cast("string")))
+    part = Window.partitionBy(key, "segment").orderBy(F.length("sequence").desc(), "input_ord")
     rows = df.withColumn("_judged", (F.row_number().over(part) == 1) & F.col("isolate_key").isNotNull())
     rows = rows.withColumn("_token", F.when(F.col("_judged"), failed("segment", "proteins")))
     own = F.concat_ws(":", F.lit(prefix), "segment", "_token")
-    first = F.min(F.when(F.col("_token").isNotNull(), F.struct("input_ord", F.concat_ws(":", "segment", "_token").alias("what")))).over(Window.partitionBy("isolate_key"))["what"]
+    first = F.min(F.when(F.col("_token").isNotNull(), F.struct("input_ord", F.concat_ws(":", "segment", "_token").alias("what")))).over(Window.partitionBy(key))["what"]
     reason = F.when(F.col("isolate_key").isNull(), None).when(F.col("_token").isNotNull(), own).when(first.isNotNull(), F.concat(F.lit(f"{prefix}_sibling:"), first))
     return rows.withColumn("_reason", reason).drop("_judged", "_token")
