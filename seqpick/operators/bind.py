@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import match_key, strain_parts
-from ..schema import STANDARD_RANKS, filled, rank
+from ..schema import STANDARD_RANKS, filled, free_name, rank
 from ..sources.tables import table_keys
 
 IDENTIFIERS = (("accession", "accession"), ("id", "id"), ("isolate", "isolate_id"), ("strain", "strain"))
@@ -78,10 +78,19 @@ def coverage(df: DataFrame, group: str = "group", must_bind: bool = True) -> dic
     return row
 
 
+def known_join(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """Left join on ``on``, where rows of ``df`` without a key are spread by their other columns instead of meeting in one task."""
+    salt = free_name([*df.columns, *side.columns], "_salt")
+    others = ["id"] if "id" in df.columns else [c for c, k in df.dtypes if c != on and "map<" not in k][:4]
+    # no literal on either side: it would be folded, and the salt be no key
+    spread = F.when(F.col(on).isNull(), F.hash(*others)).otherwise(F.hash(on)) if others else F.hash(on)
+    return df.withColumn(salt, spread).join(side.withColumn(salt, F.hash(on)), [on, salt], "left").drop(salt)
+
+
 def enrich(df: DataFrame, dimension: DataFrame, on: str, columns: list[str], override: bool = True) -> DataFrame:
     """Left join on ``on``: non-blank values of the dimension replace the record's, or with ``override`` off only fill blanks."""
     side = dimension.select(on, *(F.col(c).alias(f"_d_{c}") for c in columns))
-    out = df.join(side, on, "left")
+    out = known_join(df, side, on)
     pick = lambda c: F.coalesce(filled(F.col(f"_d_{c}")), F.col(c)) if override else F.coalesce(filled(F.col(c)), filled(F.col(f"_d_{c}")))
     return out.withColumns({c: pick(c) for c in columns}).select(*df.columns)
 
@@ -92,7 +101,7 @@ def enrich_isolates(df: DataFrame, features: DataFrame) -> DataFrame:
     name = F.coalesce(filled(F.col("_i")), filled(F.col("_s")))
     own = filled(F.col("isolate_id"))
     source = F.when(own.isNotNull(), F.col("isolate_id_source")).when(filled(F.col("_i")).isNotNull(), "isolate").when(name.isNotNull(), "strain")
-    return df.join(side, "accession", "left").withColumns({"isolate_id_source": source, "isolate_id": F.coalesce(own, name), "segment": F.coalesce(filled(F.col("segment")), filled(F.col("_g")))}).select(*df.columns)
+    return known_join(df, side, "accession").withColumns({"isolate_id_source": source, "isolate_id": F.coalesce(own, name), "segment": F.coalesce(filled(F.col("segment")), filled(F.col("_g")))}).select(*df.columns)
 
 
 def fill_from_strain(df: DataFrame) -> DataFrame:

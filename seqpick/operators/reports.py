@@ -142,6 +142,21 @@ def alarms(**parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("alarm"), F.col("subject").cast("string"), F.col("detail").cast("string")) for name, d in parts.items()])
 
 
+def text_table(df: DataFrame, order: list[Column | str], numbers: tuple[str, ...] = ("tinyint", "smallint", "int", "bigint", "float", "double")) -> DataFrame:
+    """(place, value): a table as lines of text, a heading and a rule before them; names to the left, numbers to the right.
+
+    Cells are as wide as the widest of their column; nulls are a dash.
+    """
+    kinds = dict(df.dtypes)
+    cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\s+", " "), F.lit("-"))
+    cells = df.orderBy(*order).select(F.monotonically_increasing_id().alias("place"), *(cell(c).alias(c) for c in df.columns))
+    widths = df.agg(*(F.greatest(F.coalesce(F.max(F.length(cell(c))), F.lit(0)), F.lit(len(c))).alias(c) for c in df.columns)).first()
+    pad = lambda c, v: (F.lpad if kinds[c] in numbers else F.rpad)(v, widths[c], " ")
+    line = lambda get: F.rtrim(F.concat_ws("  ", *(pad(c, get(c)) for c in df.columns)))
+    head = df.sparkSession.range(1).select(F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("place"), line(lambda c: F.lit(c)).alias("value")), F.struct(F.lit(-1).cast("long").alias("place"), F.lit("  ".join("-" * widths[c] for c in df.columns)).alias("value")))).alias("x")).select("x.*")
+    return head.unionByName(cells.select("place", line(F.col).alias("value"))).orderBy("place")
+
+
 def proteins_long(df: DataFrame, carry: list[str]) -> DataFrame:
     """One row for each protein; records without any vanish."""
     return df.select(*carry, F.posexplode("proteins").alias("nth", "p")).select(*carry, "nth", "p.*")

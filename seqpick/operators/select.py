@@ -162,6 +162,12 @@ def nested(df: DataFrame, levels: list[tuple[Column, int]], cfg: C.Config | None
     return edges
 
 
+def display_order(clusters: DataFrame, df: DataFrame, mode: str) -> DataFrame:
+    """(stratum, first_ord, n) in the order a report shows strata: modes by rank and by host as first seen, the others by name."""
+    first = clusters.join(df.select(F.col("id").alias("member_id"), "input_ord"), "member_id").groupBy("stratum").agg(F.min("input_ord").alias("first_ord"), F.count("*").alias("n"))
+    return first.orderBy(*(["first_ord", "stratum"] if mode in ("taxonomic1", "taxonomic2", "host") else ["stratum"]))
+
+
 def force_select(members: DataFrame, pool: DataFrame, pins: DataFrame, order: tuple[str, ...] = ("refseq", "reviewed_uniprot", "longest")) -> tuple[DataFrame, DataFrame]:
     """(clusters, audit) with every pinned record a representative.
 

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import re
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bind import known_join
+
 #: Residue backgrounds (proteins: BLOSUM62).
 NUCLEOTIDE_BG = {"A": 0.25, "C": 0.25, "G": 0.25, "T": 0.25}
 PROTEIN_BG = {
@@ -238,6 +242,56 @@ def parse_phyloxml(tree: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return rows, labels
 
 
+XML = "tree string, xml string"
+
+
+def phyloxml(nodes: DataFrame, labels: DataFrame | None = None, rooted: bool = True) -> DataFrame:
+    """(tree, xml): each tree as a phyloXML document that ``parse_phyloxml`` reads again; children in the order of their numbers.
+
+    ``nodes``: tree, node_id, parent_id, support, leaf (null inside), and length and label (a name for an inner node) if there
+    are; ``labels``: leaf, rank, taxon, as properties of leaves. One tree is made in one task.
+    """
+    extra = {"length": "double", "label": "string"}
+    rows = nodes.select("tree", "node_id", "parent_id", "support", "leaf", *(F.col(c) if c in nodes.columns else F.lit(None).cast(k).alias(c) for c, k in extra.items()))
+    if labels is None:
+        rows = rows.withColumn("props", F.lit(None).cast("array<string>"))
+    else:  # rank and value, a pair after the other
+        props = labels.where("taxon is not null").groupBy("leaf").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("rank", "taxon"))), lambda x: F.array(x["rank"], x["taxon"]))).alias("props"))
+        rows = known_join(rows, props, "leaf")
+
+    def one(pdf):
+        kids: dict[int | None, list[int]] = {}
+        by = {}
+        for r in pdf.sort_values("node_id").itertuples():
+            by[r.node_id] = r
+            kids.setdefault(None if r.parent_id is None or r.parent_id != r.parent_id else int(r.parent_id), []).append(r.node_id)
+        given = lambda v: v is not None and v == v
+        esc = lambda v: escape(str(v))
+        out, stack = [], [(k, False) for k in reversed(kids.get(None, []))]
+        while stack:
+            k, done = stack.pop()
+            if done:
+                out.append("</clade>")
+                continue
+            r = by[k]
+            out.append("<clade>")
+            name = r.leaf if given(r.leaf) else r.label
+            if given(name):
+                out.append(f"<name>{esc(name)}</name>")
+            if given(r.length):
+                out.append(f"<branch_length>{float(r.length)!r}</branch_length>")
+            if given(r.support):
+                out.append(f'<confidence type="support">{float(r.support)!r}</confidence>')
+            pairs = [] if r.props is None or isinstance(r.props, float) else list(r.props)
+            out += [f'<property ref="rank:{esc(a)}" datatype="xsd:string" applies_to="node">{esc(b)}</property>' for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
+            stack += [(k, True), *((c, False) for c in reversed(kids.get(k, [])))]
+        tree = pdf["tree"].iat[0]
+        head = f'<phyloxml xmlns="http://www.phyloxml.org"><phylogeny rooted="{str(rooted).lower()}"><name>{esc(tree)}</name>'
+        return pd.DataFrame({"tree": [tree], "xml": [head + "".join(out) + "</phylogeny></phyloxml>"]})
+
+    return rows.groupBy("tree").applyInPandas(one, XML)
+
+
 def node_table(spark: SparkSession, rows: list[tuple], support: float = 0) -> DataFrame:
     """Nodes with their leaf sets, weak branches collapsed if asked."""
     rows = collapse_weak(rows, support) if support else rows

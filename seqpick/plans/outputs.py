@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import reports
+from ..operators import alarms, cover, reports, select
 from ..schema import REPORT_RANKS, filled, rank
 from ..sources import fasta, stores
 from .pipeline import Config, Result
@@ -145,6 +147,37 @@ def flags(result: Result) -> DataFrame:
     return reports.alarms(eliminated=lost, target=missed, unavailable=away)
 
 
+def top_taxa(result: Result) -> DataFrame:
+    """(rank, taxon, n, n_after): the most common taxa of each rank, and all that cleaning removed."""
+    return reports.top_or_eliminated(result.before, result.after).select("rank", "taxon", "n", "n_after")
+
+
+def alarm_table(result: Result, labels: dict[str, DataFrame] | None = None, walls: DataFrame | None = None, monophyly: DataFrame | None = None, distances: DataFrame | None = None, review: DataFrame | None = None, whole: str = "genome", rank: str = "genus") -> DataFrame:
+    """All alarms of a run, from its own tallies and whatever tables of labels, peptides and trees are given."""
+    parts = [alarms.lost_taxa(reports.eliminated(result.before, result.after))]
+    parts += [alarms.lost_labels(d, name) for name, d in (labels or {}).items()]
+    for d, f in ((walls, lambda d: alarms.walls(d, rank)), (monophyly, lambda d: alarms.broken_taxa(d, whole)), (distances, alarms.incongruent), (review, lambda d: alarms.contradicted(d, rank))):
+        if d is not None:
+            parts.append(f(d))
+    return alarms.collect(*parts)
+
+
+#: What ``write_all`` puts beside the page, and what it is.
+FILES = {
+    "representatives.fasta": "representatives", "proteins.fasta": "their proteins", "representative_sequences": "their descriptions", "clusters": "clusters and how pure they are", "group_counts": "strata before and after",
+    "qc_removed": "what cleaning removed, and why", "overrides": "what was protected from it", "force_selected": "pins", "taxa.txt": "taxa before and after", "flags.txt": "alarms", "effective_config": "all settings", "lock": "what a replay needs",
+}
+
+
+def html(cfg: Config, told: DataFrame, files: dict[str, str], most: int = 200) -> str:
+    """A page with the settings' mode, the first ``most`` alarms and an index of the files."""
+    esc = lambda v: escape("" if v is None else str(v))
+    rows = told.limit(most).collect()
+    items = "".join(f'<li class="{esc(r.severity)}"><b>{esc(r.subject)}</b> {esc(r.message)}</li>' for r in rows) or "<li>No alarms.</li>"
+    index = "".join(f'<tr><td><a href="{esc(k)}">{esc(k)}</a></td><td>{esc(v)}</td></tr>' for k, v in files.items())
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{esc(cfg.mode)}</title></head><body><h1>Mode {esc(cfg.mode)}, target {cfg.n}</h1><h2>Alarms</h2><ul>{items}</ul><h2>Files</h2><table>{index}</table></body></html>"
+
+
 def summary(result: Result, cfg: Config) -> str:
     """A paragraph of methods and figures in Markdown."""
     lines = ["# Methods", "", f"Records were cleaned and reduced in mode `{cfg.mode}` with target {cfg.n}, backend `{cfg.backend}` and overflow `{cfg.overflow}`.", "", "| stage | reason | removed |", "|-|-|-|"]
@@ -157,7 +190,8 @@ def plain_cell(s: str | None) -> str:
 
 
 def write_all(spark: SparkSession, result: Result, cfg: Config, path: str, inputs: list[str] | None = None) -> None:
-    """All outputs below ``path``, which must not exist."""
+    """All outputs below ``path``, which must not exist. The run's tables are computed once each, in the shared folder."""
+    result = Result(*map(cover.cut, result))
     stores.write_tsv(result.removed, f"{path}/qc_removed")
     stores.write_tsv(result.protected, f"{path}/overrides")
     stores.write_tsv(result.audit, f"{path}/force_selected")
@@ -169,7 +203,13 @@ def write_all(spark: SparkSession, result: Result, cfg: Config, path: str, input
     stores.write_tsv(flags(result), f"{path}/flags")
     fasta.write_fasta(result.representatives, f"{path}/representatives.fasta")
     fasta.write_fasta(protein_fasta(result.representatives), f"{path}/proteins.fasta", body="body", by=["spec"])
-    stores.write_lockfile(spark, f"{path}/lock", {"mode": cfg.mode, "n": cfg.n}, inputs or [], result.representatives)
+    select.display_order(result.clusters, result.pool, cfg.mode).write.mode("errorifexists").json(f"{path}/strata")
+    reports.text_table(top_taxa(result), ["rank", F.desc("n"), "taxon"]).select("value").write.mode("errorifexists").text(f"{path}/taxa.txt")
+    told = alarm_table(result)
+    alarms.lines(told).select("value").write.mode("errorifexists").text(f"{path}/flags.txt")
+    spark.createDataFrame([(json.dumps(cfg.effective(), sort_keys=True, default=str),)], "value string").write.mode("errorifexists").text(f"{path}/effective_config")
+    spark.createDataFrame([(html(cfg, told, FILES),)], "value string").write.mode("errorifexists").text(f"{path}/report.html")
+    stores.write_lockfile(spark, f"{path}/lock", cfg.effective(), inputs or [], result.representatives, command=cfg.mode)
     spark.createDataFrame([(summary(result, cfg),)], "value string").write.text(f"{path}/summary")
 
 

@@ -6,7 +6,7 @@ Stages are DataFrame functions in a fixed order, cheap ones first; nothing is co
 from __future__ import annotations
 
 import difflib
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bind, cluster, cover, isolates, markers, qc, reports, select
 from ..schema import REPORT_RANKS, as_records, rank
+from ..sources import stores
 
 MODES = ("global", "taxonomic1", "taxonomic2", "host", "time", "geographic", "custom", "hybrid")
 
@@ -68,6 +69,10 @@ class Config:
                 raise ValueError(f"unknown key {k!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
         return cls(**given)
 
+    def effective(self) -> dict:
+        """Every setting as it stands, defaults and all, without secrets."""
+        return stores.without_secrets(asdict(self))
+
     def clustering(self) -> cluster.Config:
         return cluster.Config(backend=self.backend, protein=self.protein, overflow=self.overflow, priority=tuple(self.priority))
 
@@ -148,6 +153,8 @@ def run(records: DataFrame, cfg: Config, table: DataFrame | None = None, exclude
         pairs = F.map_from_entries(F.array(*(F.struct(F.lit(c).alias("key"), F.coalesce(F.col(f"bound_{c}")["value"], F.lit("Unknown")).alias("value")) for c in cfg.annotate)))
         df = labelled.withColumn("group_labels", bind.merge_labels(F.col("group_labels"), pairs)).select(*df.columns)
 
+    # clusters, representatives and tallies all read the cleaned records
+    df = cover.cut(df)
     body = "protein_sequence" if cfg.specs else "sequence"
     if cfg.mode == "global" and cfg.threshold is not None:
         clusters = select.global_threshold(df, cfg.threshold, cfg.clustering(), body)
