@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue_inputs  # noqa: F401  registers its own
+    from . import catalogue_inputs, catalogue_reports  # noqa: F401  they register their own
 
     return {k: f for k, (f, _) in _QUERIES.items()}
 
