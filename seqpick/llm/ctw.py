@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, stage_table, text_slices, total_text_bytes
 
-DEPTH = 4
+DEPTH = 5
 #: Text of a chunk, the least number of chunks, and the most partitions that they are dealt into.
 CHUNK_BYTES, CHUNKS, PARTITIONS = 24 << 20, 16, 8192
 SLICE = 2 << 20
