@@ -37,7 +37,7 @@ from .common import LOWER, stage_table, text_slices, total_text_bytes
 
 DEPTH = 5
 #: Text of a chunk, the least number of chunks, and the most partitions that they are dealt into.
-CHUNK_BYTES, CHUNKS, PARTITIONS = 24 << 20, 16, 8192
+CHUNK_BYTES, CHUNKS, PARTITIONS = 32 << 20, 16, 8192
 SLICE = 2 << 20
 #: Rows of a batch that a task sends.
 SEND = 1 << 16
