@@ -25,11 +25,19 @@ PROTEIN_BG = {
 NODE = "tree string, node_id int, parent_id int, depth int, support double, leaf string"
 
 
+def _padded(msa: DataFrame, width: int | None = None) -> DataFrame:
+    """``msa`` in upper case without empty rows; short rows are filled with gaps."""
+    n = width or msa.agg(F.max(F.length("row"))).first()[0] or 0
+    return msa.where(F.length("row") > 0).withColumn("row", F.rpad(F.upper("row"), n, "-"))
+
+
+def _cells(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.posexplode(F.split("row", "")).alias("col", "ch")).where(F.col("ch") != "")
+
+
 def columns(msa: DataFrame, width: int | None = None) -> DataFrame:
     """(id, col, ch) of an alignment; short rows are filled with gaps."""
-    n = width or msa.agg(F.max(F.length("row"))).first()[0] or 0
-    rows = msa.where(F.length("row") > 0).withColumn("row", F.rpad(F.upper("row"), n, "-"))
-    return rows.select("id", F.posexplode(F.split("row", "")).alias("col", "ch")).where(F.col("ch") != "")
+    return _cells(_padded(msa, width), "id")
 
 
 def henikoff(cols: DataFrame) -> DataFrame:
@@ -42,24 +50,38 @@ def henikoff(cols: DataFrame) -> DataFrame:
 
 
 def conservation(msa: DataFrame, protein: bool | None = None) -> DataFrame:
-    """(col, jsd, occupancy): divergence of each column from the background, and the weight of its residues."""
-    cols = columns(msa)
+    """(col, jsd, occupancy): divergence of each column from the background, and the weight of its residues.
+
+    Equal rows weigh alike, so they are counted once, with their number. No join has cells on both sides or on the side that
+    is broadcast: that is the table of symbols by column.
+    """
+    rows = _padded(msa).groupBy("row").agg(F.count("*").alias("m"))
+    cells = _cells(rows, "row", "m")
     if protein is None:
-        nt, total = cols.where(~F.col("ch").isin("-", ".", "~")).agg(F.count(F.when(F.col("ch").isin(*"ACGTUN"), 1)), F.count("*")).first()
-        protein = not total or nt / total < 0.9
+        nt, total = cells.where(~F.col("ch").isin("-", ".", "~")).agg(F.sum(F.when(F.col("ch").isin(*"ACGTUN"), F.col("m"))), F.sum("m")).first()
+        protein = not total or (nt or 0) / total < 0.9
     bg = PROTEIN_BG if protein else NUCLEOTIDE_BG
     bg = {k: v / sum(bg.values()) for k, v in bg.items()}
     ch = F.col("ch") if protein else F.when(F.col("ch") == "U", "T").otherwise(F.col("ch"))
-    p = cols.join(henikoff(cols), "id").withColumn("ch", ch).withColumn("ch", F.when(F.col("ch").isin(*bg), F.col("ch")))
-    p = p.groupBy("col", "ch").agg(F.sum("w").alias("w"))
-    q = cols.sparkSession.createDataFrame(list(bg.items()), "ch string, q double")
-    every = p.select("col").distinct().join(F.broadcast(q))  # the alphabet: 20 rows
-    total = p.where("ch is not null").groupBy("col").agg(F.sum("w").alias("occupancy"))
-    both = every.join(p, ["col", "ch"], "left").join(total, "col", "left").withColumn("p", F.coalesce(F.col("w") / F.col("occupancy"), F.lit(0.0)))
-    m = (F.col("p") + F.col("q")) / 2
-    part = F.when(F.col("p") > 0, F.col("p") * F.log2(F.col("p") / m)).otherwise(0.0) + F.col("q") * F.log2(F.col("q") / m)
-    out = both.groupBy("col").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(part) / 2)).alias("jsd"), F.coalesce(F.max("occupancy"), F.lit(0.0)).alias("occupancy"))
-    return out.withColumn("jsd", F.when(F.col("occupancy") > 0, F.col("jsd")).otherwise(0.0))
+    # position-based weights as in ``henikoff``
+    n = cells.groupBy("col", "ch").agg(F.sum("m").alias("n"))
+    share = n.join(n.groupBy("col").agg(F.count("*").alias("k")), "col").select("col", "ch", (1.0 / (F.col("k") * F.col("n"))).alias("share"))
+    weighed = cells.join(F.broadcast(share), ["col", "ch"]).groupBy("row", "m").agg((F.sum("share") * F.col("m")).alias("w"))
+    total = weighed.agg(F.sum("w").alias("total"))  # one row
+    weighed = weighed.crossJoin(F.broadcast(total)).withColumn("w", F.col("w") / F.col("total"))
+    p = _cells(weighed, "w").withColumn("ch", ch).withColumn("ch", F.when(F.col("ch").isin(*bg), F.col("ch"))).groupBy("col", "ch").agg(F.sum("w").alias("w"))
+    # a column's residues are a map of at most the alphabet
+    known = F.col("ch").isNotNull()
+    both = p.groupBy("col").agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("ch", "w")))).alias("of"), F.sum(F.when(known, F.col("w"))).alias("occupancy"))
+
+    def part(x: Column) -> Column:
+        own = F.coalesce(F.try_element_at("of", x["ch"]) / F.col("occupancy"), F.lit(0.0))
+        m = (own + x["q"]) / 2
+        return F.when(own > 0, own * F.log2(own / m)).otherwise(0.0) + x["q"] * F.log2(x["q"] / m)
+
+    alphabet = F.array(*(F.struct(F.lit(k).alias("ch"), F.lit(v).alias("q")) for k, v in bg.items()))
+    jsd = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.aggregate(F.transform(alphabet, part), F.lit(0.0), lambda a, v: a + v) / 2))
+    return both.select("col", F.when(F.col("occupancy") > 0, jsd).otherwise(0.0).alias("jsd"), F.coalesce("occupancy", F.lit(0.0)).alias("occupancy"))
 
 
 def conservation_score(per_column: DataFrame) -> DataFrame:

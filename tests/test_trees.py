@@ -25,6 +25,27 @@ def test_conservation_bounds(spark):
     assert all(r.occupancy == pytest.approx(1) for r in rna)
 
 
+def test_conservation_counts_equal_rows_once_and_broadcasts_no_cells(spark):
+    """Equal rows weigh as so many rows; a join over cells has a hint, so that no estimate of sizes broadcasts them."""
+    rows = ["WAKL"] * 5 + ["LKAW"] * 3 + ["wa", "", None, "----"]
+    got = trees.conservation(msa(spark, *rows), protein=True)
+    kids = lambda node: [node.children().apply(i) for i in range(node.children().size())]
+    cells = lambda node: node.nodeName() == "Generate" or node.nodeName() != "Aggregate" and any(map(cells, kids(node)))
+    todo = [got._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += kids(node)
+        if node.nodeName() == "Join" and any(map(cells, kids(node))):
+            assert "broadcast" in node.hint().toString() and not cells(kids(node)[1])
+    weights = {r.id: r.w for r in trees.henikoff(trees.columns(msa(spark, *rows))).collect()}
+    full = [(weights[i], (r.upper() + "----")[:4]) for i, r in enumerate(rows) if r]
+    for r in got.collect():
+        assert r.occupancy == pytest.approx(sum(w for w, s in full if s[r["col"]] != "-"))
+        q = {k: v / sum(trees.PROTEIN_BG.values()) for k, v in trees.PROTEIN_BG.items()}
+        p = {k: sum(w for w, s in full if s[r["col"]] == k) / r.occupancy for k in q}
+        assert r.jsd == pytest.approx(sum((p[k] * math.log2(2 * p[k] / (p[k] + q[k])) if p[k] else 0) + q[k] * math.log2(2 * q[k] / (p[k] + q[k])) for k in q) / 2)
+
+
 def test_supermatrix_fills_gaps(spark):
     parts = spark.createDataFrame([(1, "a", "AC"), (1, "b", "GT"), (2, "a", "TTT")], "part int, id string, row string")
     assert {r.id: (r.row, r.n_parts) for r in trees.supermatrix(parts).collect()} == {"a": ("ACTTT", 2), "b": ("GT---", 1)}
