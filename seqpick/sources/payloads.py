@@ -5,6 +5,8 @@ A payload that is null, empty or malformed gives nulls (Columns) or no rows (Dat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,17 @@ REVIEWED = "UniProtKB reviewed (Swiss-Prot)"
 SOURCE = ("isolate", "strain", "segment", "serotype")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row: an expression put into several places is computed in each, and in a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _rank_map(pairs: Column, without: tuple[str, ...]) -> Column:
     """map(rank, name) of an array of structs (rank, name): lower case, blanks and unranked ones left out, the first of equal ranks."""
     clean = F.transform(F.coalesce(pairs, F.array().cast("array<struct<rank:string,name:string>>")), lambda p: F.struct(F.lower(F.trim(p["rank"])).alias("rank"), filled(F.trim(p["name"])).alias("name")))
     named = F.filter(clean, lambda p: (p["rank"] != "") & ~p["rank"].isin(*without) & p["name"].isNotNull())
-    ranks = F.transform(named, lambda p: p["rank"])
-    return F.map_from_entries(F.filter(named, lambda p, i: F.array_position(ranks, p["rank"]) == i + 1))
+    first = lambda n, ranks: F.map_from_entries(F.filter(n, lambda p, i: F.array_position(ranks, p["rank"]) == i + 1))
+    return _once(named, lambda n: _once(F.transform(n, lambda p: p["rank"]), lambda ranks: first(n, ranks)))
 
 
 def _taxonomy(taxid: Column, lineage: Column, species: Column | None = None) -> Column:
@@ -39,11 +46,14 @@ def _taxonomy(taxid: Column, lineage: Column, species: Column | None = None) ->
 
 def taxonomy_xml(xml: Column, taxid: Column | None = None) -> Column:
     """The record's taxonomy from a taxonomy document: the ranks of the lineage, then the taxon's own. Null if it names no rank."""
-    taxon = F.get(F.from_xml(xml, _TAXA)["Taxon"], F.lit(0))
     pair = lambda n: F.struct(n["Rank"].alias("rank"), n["ScientificName"].alias("name"))
-    above = F.coalesce(F.transform(taxon["LineageEx"]["Taxon"], pair), F.array().cast("array<struct<rank:string,name:string>>"))
-    lineage = _rank_map(F.concat(above, F.array(pair(taxon))), ("no rank", "clade"))
-    return F.when(F.size(lineage) > 0, _taxonomy(taxid if taxid is not None else taxon["TaxId"], lineage))
+
+    def of(taxon: Column) -> Column:
+        above = F.coalesce(F.transform(taxon["LineageEx"]["Taxon"], pair), F.array().cast("array<struct<rank:string,name:string>>"))
+        ranks = _rank_map(F.concat(above, F.array(pair(taxon))), ("no rank", "clade"))
+        return _once(ranks, lambda lineage: F.when(F.size(lineage) > 0, _taxonomy(taxid if taxid is not None else taxon["TaxId"], lineage)))
+
+    return _once(F.get(F.from_xml(xml, _TAXA)["Taxon"], F.lit(0)), of)
 
 
 def taxonomy_json(json: Column, taxid: Column) -> Column:
@@ -72,23 +82,26 @@ def summary_json(json: Column, uid: Column | None = None) -> Column:
 
     Source qualifiers come as two lists with bars between; the last of equal names counts.
     """
-    result = F.from_json(json, "result map<string,string>")["result"]
-    first = F.get(F.from_json(F.try_element_at(result, F.lit("uids")), "array<string>"), F.lit(0))
-    rec = F.from_json(F.try_element_at(result, uid if uid is not None else first), "organism string, taxid string, title string, subtype string, subname string")
-    pairs = F.arrays_zip(F.split(rec["subtype"], r"\|").alias("k"), F.split(rec["subname"], r"\|").alias("v"))
 
-    def of(*names: str) -> Column:
-        last = lambda n: F.try_element_at(F.filter(pairs, lambda p: (p["k"] == n) & p["v"].isNotNull()), F.lit(-1))["v"]
-        return F.coalesce(*(F.nullif(last(n), F.lit("")) for n in names))
+    def record(result: Column) -> Column:
+        first = F.get(F.from_json(F.try_element_at(result, F.lit("uids")), "array<string>"), F.lit(0))
+        return F.from_json(F.try_element_at(result, uid if uid is not None else first), "organism string, taxid string, title string, subtype string, subname string")
 
-    taxid = rec["taxid"].try_cast("int")
-    return F.when(
-        rec["organism"].isNotNull() | rec["taxid"].isNotNull() | rec["title"].isNotNull(),
-        F.struct(
-            rec["organism"].alias("organism"), F.nullif(taxid, F.lit(0)).alias("taxid"), rec["title"].alias("title"), of("host").alias("host"), of("geo_loc_name", "country").alias("country"),
+    def fields(rec: Column, pairs: Column) -> Column:
+        def of(*names: str) -> Column:
+            last = lambda n: F.try_element_at(F.filter(pairs, lambda p: (p["k"] == n) & p["v"].isNotNull()), F.lit(-1))["v"]
+            return F.coalesce(*(F.nullif(last(n), F.lit("")) for n in names))
+
+        return F.struct(
+            rec["organism"].alias("organism"), F.nullif(rec["taxid"].try_cast("int"), F.lit(0)).alias("taxid"), rec["title"].alias("title"), of("host").alias("host"), of("geo_loc_name", "country").alias("country"),
             of("collection_date").alias("collection_date"), of("strain", "isolate").alias("strain"), of("serotype").alias("subtype"),
-        ),
-    )
+        )
+
+    def whole(rec: Column) -> Column:
+        pairs = F.arrays_zip(F.split(rec["subtype"], r"\|").alias("k"), F.split(rec["subname"], r"\|").alias("v"))
+        return F.when(rec["organism"].isNotNull() | rec["taxid"].isNotNull() | rec["title"].isNotNull(), _once(pairs, lambda p: fields(rec, p)))
+
+    return _once(F.from_json(json, "result map<string,string>")["result"], lambda result: _once(record(result), whole))
 
 
 def _qualifier(feature: Column, name: str, glue: str = " ") -> Column:

@@ -107,3 +107,14 @@ def test_alignment_roles(spark):
     }
     df = spark.createDataFrame([(p,) for p in want], "path string")
     assert {r.path: tuple(r.m) for r in df.select("path", P.alignment_role(F.col("path"), "run").alias("m")).collect()} == want
+
+
+def test_a_payload_is_parsed_once(spark):
+    """Whatever is taken of a payload's columns, the plan has one call of the parser of each text."""
+    df = column(spark, [TAXA.format(""), None])
+    lower = lambda got: got._jdf.queryExecution().optimizedPlan().toString().lower()
+    tax = lower(df.select(P.taxonomy_xml(F.col("v")).alias("t")).select("t.taxid", "t.genus", "t.species", "t.lineage"))
+    assert tax.count("from_xml(") + tax.count("xmltostructs(") == 1
+    # the answer, its list of ids and the record are three texts
+    got = lower(df.select(P.summary_json(F.col("v")).alias("e")).select("e.organism", "e.host", "e.strain", "e.taxid"))
+    assert got.count("from_json(") + got.count("jsontostructs(") == 3
