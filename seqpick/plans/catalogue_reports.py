@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alarms, cluster, qc, reports, select
@@ -15,6 +16,11 @@ from .catalogue_inputs import _NATIONS, _folder, _nations, _people
 _text = lambda c: F.col(c).cast("string")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out to tasks: payloads cost far more to parse than to read, and a small file is one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 @query(f"""SELECT c_custkey AS id, CAST(c_custkey + 9 AS INT) AS taxid, n_name AS genus, CASE WHEN c_custkey % 3 = 0 THEN r_name END AS family, 'sp ' || c_custkey AS species,
 CAST(CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_ranks FROM {_NATIONS} WHERE c_custkey % 7 <> 0""")
 def q_taxonomy_xml(spark, sf_dir):
@@ -24,7 +30,8 @@ def q_taxonomy_xml(spark, sf_dir):
     line = F.concat(node("no rank", F.lit("cells")), F.when(key % 3 == 0, node("Family", F.col("r_name"))).otherwise(node("clade", F.col("r_name"))), node("genus", F.col("n_name")), node("genus", F.lit("second")))
     xml = F.concat(F.lit("<TaxaSet><Taxon><TaxId>"), (key + 9).cast("string"), F.lit("</TaxId><ScientificName>sp "), key.cast("string"), F.lit("</ScientificName><Rank>species</Rank><LineageEx>"), line, F.lit("</LineageEx></Taxon></TaxaSet>"))
     xml = F.when(key % 7 == 0, F.substring(xml, 1, 60)).otherwise(xml)
-    rows = _nations(spark, sf_dir).select(key.alias("id"), payloads.taxonomy_xml(xml).alias("t")).where("t is not null")
+    some = F.filter(F.array(payloads.taxonomy_xml(xml)), lambda t: t.isNotNull())  # not a filter on the column: it would parse again
+    rows = _dealt(_nations(spark, sf_dir), "c_custkey").select(key.alias("id"), F.explode(some).alias("t"))
     return rows.select("id", "t.taxid", "t.genus", "t.family", "t.species", F.size("t.lineage").cast("long").alias("n_ranks"))
 
 
@@ -52,7 +59,7 @@ def q_summary_json(spark, sf_dir):
     values = F.concat_ws("|", F.col("c_mktsegment"), F.col("r_name"), F.lit("i"), F.when(key % 2 == 0, F.concat(F.lit("s"), key.cast("string"))))
     rec = F.to_json(F.struct(F.col("n_name").alias("organism"), (key % 5).alias("taxid"), F.lit("t").alias("title"), names.alias("subtype"), values.alias("subname")))
     body = F.concat(F.lit('{"result": {"uids": ["'), key.cast("string"), F.lit('"], "'), key.cast("string"), F.lit('": '), rec, F.lit("}}"))
-    return _nations(spark, sf_dir).select(key.alias("id"), payloads.summary_json(body).alias("e")).select("id", "e.organism", "e.taxid", "e.host", "e.country", "e.strain", "e.subtype")
+    return _dealt(_nations(spark, sf_dir), "c_custkey").select(key.alias("id"), payloads.summary_json(body).alias("e")).select("id", "e.organism", "e.taxid", "e.host", "e.country", "e.strain", "e.subtype")
 
 
 @query("""SELECT 'P' || p_partkey || '.1' AS accession, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS strain, CAST(p_size AS VARCHAR) AS segment, 'q' || p_partkey AS protein_id, p_name AS product, CAST(CASE WHEN p_partkey % 2 = 0 THEN 32 END AS INT) AS length FROM part
