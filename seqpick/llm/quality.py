@@ -1,9 +1,9 @@
 """Quality rules: an isolation forest on rule statistics.
 
 One Arrow pass counts a document's rule statistics over its whole text and runs the trees on
-them. Everything fitted comes from a sample of labelled rows (``FIT_ROWS``, those with the least
-seeded hash): the level of each statistic that all but ``TAIL`` of the good rows stay within, the
-trees, grown on how far each row goes beyond these levels (good rows coincide at zero, so few splits
+them. Everything fitted comes from all labelled rows: the level of each statistic that all but ``TAIL`` of the good rows
+stay within, the trees, each grown from its own ``SUBSAMPLE`` rows drawn from all of them, as the method has it, on how far
+a row goes beyond these levels (good rows coincide at zero, so few splits
 isolate what breaks a rule), and the score above which a document counts as anomalous. On plain rates the
 same forest was measured to find half as much junk at the same loss: junk makes clusters, which few splits don't isolate.
 
@@ -19,16 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, text_slices, without
+from .common import drop_table, free_name, stage_table, text_slices, without
 
-#: Most labelled rows from which the forest is grown and its threshold set.
-FIT_ROWS = 4096
 TREES, SUBSAMPLE, SEED = 100, 64, 17
 #: The share of good rows beyond the level of a statistic.
 TAIL = 0.001
@@ -114,6 +111,7 @@ def _path(n: float) -> float:
 def grow(x: np.ndarray, seed: int = SEED, trees: int = TREES, subsample: int = SUBSAMPLE) -> dict:
     """An isolation forest as flat arrays: feature (-1: leaf), cut, left child (right: the next), depth."""
     rng = np.random.default_rng(seed)
+    apart = rng.permutation(len(x)) if len(x) >= trees * subsample else None  # enough rows: no two trees share one
     feature, cut, left, depth, roots = [], [], [], [], []
     limit = int(np.ceil(np.log2(max(2, min(subsample, len(x))))))
 
@@ -122,8 +120,8 @@ def grow(x: np.ndarray, seed: int = SEED, trees: int = TREES, subsample: int = S
             a.append(v)
         return len(feature) - 1
 
-    for _ in range(trees if len(x) else 0):
-        rows = x[rng.choice(len(x), min(subsample, len(x)), replace=False)]
+    for t in range(trees if len(x) else 0):
+        rows = x[rng.choice(len(x), min(subsample, len(x)), replace=False) if apart is None else apart[t * subsample : (t + 1) * subsample]]
         roots.append(node())
         todo = [(roots[-1], rows, 0)]
         while todo:
@@ -158,39 +156,59 @@ def anomaly(forest: dict, x: np.ndarray) -> np.ndarray:
     return np.power(2.0, -total / len(forest["roots"]) / forest["scale"])
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, spare: float = SPARE) -> dict:
-    """Grow the forest and set its threshold from at most ``fit_rows`` labelled rows.
+def _greatest(rows: DataFrame, column: str, n: int) -> np.ndarray:
+    """The ``n`` greatest values, descending: a small share of the rows reaches the driver."""
+    return np.array([r[0] for r in rows.select(column).orderBy(F.desc(column)).limit(n).collect()], float)
 
-    Trees grow from the sample whole, junk included. The threshold is the lowest that fails at most
+
+def _level(rows: DataFrame, column: str, n: int, share: float) -> float:
+    """The quantile of ``share`` over all ``n`` rows, between two values in proportion, as ``np.quantile`` has it."""
+    at = (n - 1) * share
+    top = _greatest(rows, column, n - int(at))[::-1]
+    return float(top[0] + (at - int(at)) * (top[min(1, len(top) - 1)] - top[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", spare: float = SPARE) -> dict:
+    """Grow the forest and set its threshold from all labelled rows (all rows, if ``labels`` is None).
+
+    Trees grow from junk and good rows alike. The threshold is the lowest that fails at most
     ``spare`` of the rows with label 1, and never under the median score.
     """
-    key = F.xxhash64(F.col("_id"), F.lit(SEED))
-    ids = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    if labels is None:
-        some = ids.select(F.col("_id").alias("_same"), key.alias("_h")).orderBy("_h", "_same").limit(fit_rows).distinct()  # ids alone
-        rows = ids.withColumn("_label", F.lit(1)).join(F.broadcast(some), F.expr("_id <=> _same"))
-    else:
-        known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna()
-        known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(key, "_id").limit(fit_rows)
-        rows = ids.join(F.broadcast(known), "_id").withColumn("_h", key)  # at most fit_rows rows of two numbers
+    names = [f"r{i}" for i in range(len(COUNTS))]
+    ids = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("_h"), F.col(text_col).cast("string").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text", SLICE):
             c = statistics(texts)
-            yield pa.RecordBatch.from_arrays([part.column("_h"), part.column("_label"), *map(pa.array, c.T)], names=["_h", "_label", *COUNTS])
-
-    schema = T.StructType([T.StructField("_h", T.LongType()), T.StructField("_label", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    got: pd.DataFrame = rows.select("_h", "_label", "_text").mapInArrow(count, schema).orderBy("_h", *COUNTS).limit(2 * fit_rows).toPandas()
-    counts = got[COUNTS].to_numpy(np.int64).reshape(-1, len(COUNTS))
-    good = (got["_label"].to_numpy() == 1) & ~base_failed(counts)
-    good = good if good.any() else np.ones(len(counts), bool)
-    levels = np.quantile(rates(counts[good]), 1 - TAIL, axis=0) if len(counts) else np.zeros(len(COUNTS))
-    x = features(counts, levels)
-    forest = grow(x) | {"levels": levels}
-    if len(x):
-        s = anomaly(forest, x)
-        base = s[good]
-        forest["threshold"] = max(float(np.quantile(base, 1 - spare, method="higher")) + 1e-9, float(np.median(s)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, rates(c).T), pa.array(base_failed(c))], names=["_id", "_h", *names, "_failed"])
+
+    schema = T.StructType([*ids.schema.fields[:2], *(T.StructField(c, T.DoubleType()) for c in names), T.StructField("_failed", T.BooleanType())])
+    rows = ids.mapInArrow(count, schema)
+    if labels is None:
+        rows = rows.withColumn("_good", ~F.col("_failed"))
+    else:  # numbers are joined, not texts
+        known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna()
+        rows = rows.join(known.groupBy("_id").agg(F.max("_label").alias("_label")), "_id").withColumn("_good", (F.col("_label") == 1) & ~F.col("_failed"))
+    rows = stage_table(rows.select("_h", "_good", *names), "rates")
+    n, some = rows.agg(F.count("*"), F.count(F.when(F.col("_good"), 1))).first()
+    good = F.col("_good") if some else F.lit(True)
+    some = some or n
+    levels = np.array([_level(rows.where(good), c, some, 1 - TAIL) if n else 0.0 for c in names])
+    drawn = rows.orderBy("_h", *names).limit(TREES * SUBSAMPLE).select(*names).toPandas().to_numpy(float).reshape(-1, len(names))
+    forest = grow(np.sqrt(np.maximum(drawn - levels, 0))) | {"levels": levels}
+    if n:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.column_stack([b.column(c).to_numpy() for c in names])
+                yield pa.RecordBatch.from_arrays([b.column("_good"), pa.array(anomaly(forest, np.sqrt(np.maximum(x - levels, 0))))], names=["_good", "s"])
+
+        scores = stage_table(rows.select("_good", *names).mapInArrow(score, "_good boolean, s double"), "scores")
+        # of the good rows' scores in order, the first at or after the place of the share
+        least = float(_greatest(scores.where(good), "s", some - int(np.ceil((1 - spare) * (some - 1))))[-1]) + 1e-9
+        under = scores.where(F.col("s") <= least).count()
+        forest["threshold"] = least if 2 * under > n else max(least, scores.agg(F.percentile("s", F.lit(0.5))).first()[0])
+        drop_table(scores)
+    drop_table(rows)
     return forest
 
 

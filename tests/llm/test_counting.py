@@ -368,6 +368,20 @@ def test_forest_against_plain_recursion(spark):
         assert r.anomaly == pytest.approx(scores[r.doc_id]) and r.kept == (not r.base_failed and r.anomaly <= forest["threshold"])
 
 
+def test_quality_is_fitted_to_every_labelled_row(spark):
+    """More labelled rows than 4,096: levels and threshold are those of all of them."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"{j}" + "w" * int(k) for j, k in enumerate(rng.integers(1, 9, 10)))) for i in range(6500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    forest = quality.fit(df, df.select("doc_id", F.lit(1).alias("quality")))
+    counts = quality.statistics([t.encode() for _, t in rows])
+    assert not quality.base_failed(counts).any()
+    assert np.allclose(forest["levels"], np.quantile(quality.rates(counts), 1 - quality.TAIL, axis=0))
+    scores = np.sort(quality.anomaly(forest, quality.features(counts, forest["levels"])))
+    want = max(scores[math.ceil((1 - quality.SPARE) * (len(rows) - 1))], np.median(scores))
+    assert forest["threshold"] == pytest.approx(want, abs=1e-8) and len(forest["roots"]) == quality.TREES
+
+
 def test_quality_without_labels_or_rows(spark, empty, awkward):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     for lab in (none, None):
