@@ -127,14 +127,16 @@ class GrayIndex:
     def __init__(self, codes: np.ndarray, starts: np.ndarray):
         self.codes = codes
         self.run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
-        self.levels = []  # of each node: its bits, which of them are shared, its first child and how many
+        self.levels = []  # of each node: its bits, which of them are shared, its first child and how many, its last code
         every = some = codes
+        ends = np.arange(len(codes))
         size = LEAF
         while True:
             total = len(every)
             cuts, starts = _pieces(starts, total, size)
             every, some = np.bitwise_and.reduceat(every, cuts), np.bitwise_or.reduceat(some, cuts)
-            self.levels.append((every, ~(every ^ some), cuts, np.diff(np.r_[cuts, total])))
+            ends = ends[np.r_[cuts[1:], total] - 1]
+            self.levels.append((every, ~(every ^ some), cuts, np.diff(np.r_[cuts, total]), ends))
             if len(starts) == len(cuts):
                 return
             size = FAN
@@ -145,9 +147,9 @@ class GrayIndex:
         q = np.arange(a, b)
         node, gone, seen = self.run[a:b], np.zeros(b - a, np.int64), np.zeros_like(codes[a:b])
         last = None
-        for value, shared, first, many in reversed(self.levels):
+        for value, shared, first, many, end in reversed(self.levels):
             gone = gone + np.bitwise_count((codes[q] ^ value[node]) & shared[node] & ~seen).sum(1, dtype=np.int64)
-            keep = gone <= radius
+            keep = (gone <= radius) & (q < end[node])
             q, node, gone = q[keep], node[keep], gone[keep]
             seen, n = shared[node], many[node]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -292,8 +294,8 @@ def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 #: Near duplicates by similarity: bins of a sketch, words of a wide fingerprint, rows of a bin's shingle that come together.
 BINS, WIDE, HOT_RUN = 8, 4, 20_000
-#: Code pairs that are compared at a time, and shingles; runs of up to so many codes are compared together.
-PAIRS, SHINGLES, SMALL = 1 << 19, 1 << 20, 32
+#: Code pairs that meet in the index at a time, and shingles that are compared.
+PAIRS, SHINGLES = 1 << 19, 1 << 20
 
 
 @cache
@@ -397,30 +399,36 @@ def _run_numbers(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[True, (pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1])])
 
 
-def run_pairs(codes: np.ndarray, sizes: np.ndarray, run: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j), as indexes, of each run whose codes differ in at most ``radius`` bits and whose sizes allow the similarity."""
+def gray_order(codes: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The order that sorts codes (rows of words, the first the highest) by their place in reflected Gray order inside each run; runs are in order."""
+    ranks, odd = [], np.zeros(len(codes), np.uint64)
+    for w in codes.T:
+        w = w.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            w ^= w >> np.uint64(shift)
+        w ^= odd  # all bits turn if those before are odd in number
+        odd = np.uint64(0) - (w & np.uint64(1))
+        ranks.append(w)
+    return np.lexsort((*reversed(ranks), run))
+
 
-    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def run_pairs(codes: np.ndarray, sizes: np.ndarray, run: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j), as indexes, of each run whose codes differ in at most ``radius`` bits and whose sizes allow the similarity: all found through the index."""
+    if not len(codes):
+        return
+    order = gray_order(codes, run)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    index = GrayIndex(codes[order], starts)
+    many = np.diff(np.r_[starts, len(codes)])
+    met = np.cumsum(np.repeat(many, many))  # codes that the codes up to each one may meet
+    at = 0
+    while at < len(codes):
+        end = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + PAIRS, "right")))
+        i, j = (order[x] for x in index.near(at, end, radius))
+        i, j = np.minimum(i, j), np.maximum(i, j)
         keep = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
-        return i[keep], j[keep]
-
-    bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
-    counts = np.diff(bounds)
-    small = np.repeat(counts <= SMALL, counts)
-    for step in range(1, min(SMALL, int(counts[counts <= SMALL].max(initial=1)))):
-        i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
-        i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(1, dtype=np.int64) <= radius]
-        yield fit(i, i + step)
-    for k in np.flatnonzero(counts > SMALL):
-        a, b = int(bounds[k]), int(bounds[k + 1])
-        block = max(1, PAIRS // (b - a))
-        for at in range(a, b, block):
-            end = min(at + block, b)
-            differ = np.zeros((end - at, b - at), np.uint16)
-            for w in range(codes.shape[1]):
-                differ += np.bitwise_count(codes[at:end, w, None] ^ codes[None, at:b, w])
-            i, j = np.nonzero(differ <= radius)
-            yield fit(i[i < j] + at, j[i < j] + at)
+        yield i[keep], j[keep]
+        at = end
 
 
 def _candidates(dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -536,7 +544,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k1, k2: ``row_keys``; first: of its component the row with the least id, null last. The nodes are distinct sets of
     shingles. Two meet where the least shingle of one of BINS bins is the same (at 0.8 they miss all with
     probability 0.2^8), and are candidates if their 256-bit fingerprints and sizes allow the similarity (``wide_radius``: five standard
-    deviations). Only sets with a candidate are sent to their bins whole, and only pairs that are not connected yet are compared there,
+    deviations): in each bin's run they are found through the index, in Gray order. Only sets with a candidate are sent to their bins whole, and only pairs that are not connected yet are compared there,
     shingle by shingle; so no group sends all its pairs. A bin's shingle that over ``hot_run`` sets share (a line that many texts have) is searched
     in pairs of blocks: all against all, whatever else they share.
     """

@@ -213,6 +213,27 @@ def test_near_groups_are_exact(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_pairs_of_wide_codes_come_through_the_index(monkeypatch):
+    rng = np.random.default_rng(12)
+    codes = rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
+    for k in range(200):  # others a few bits apart
+        codes[100 + k] = codes[k % 100] ^ (np.uint64(1) << rng.integers(0, 64, 4, dtype=np.uint64))
+    run, sizes = np.sort(rng.integers(0, 12, 300)), rng.integers(80, 110, 300)
+    apart = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2)
+    close = (apart <= 80) & (run[:, None] == run) & (np.minimum.outer(sizes, sizes) >= 0.8 * np.maximum.outer(sizes, sizes))
+    asked = []
+    near = simhash.GrayIndex.near
+    monkeypatch.setattr(simhash.GrayIndex, "near", lambda self, a, b, r: asked.append(b - a) or near(self, a, b, r))
+    for most in (1 << 19, 64):
+        monkeypatch.setattr(simhash, "PAIRS", most)
+        asked.clear()
+        got = [p for i, j in simhash.run_pairs(codes, sizes, run, 80, 0.8) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))), strict=True))
+        assert sum(asked) == 300
+    order = simhash.gray_order(np.array([[0, 2], [0, 3], [1, 0], [0, 1], [1, 1 << 63], [0, 0]], np.uint64), np.zeros(6, int))
+    assert order.tolist() == [5, 3, 1, 0, 4, 2]
+
+
 def test_near_groups_of_repeated_lines(spark):
     # the same distinct shingles in other numbers: equal sets
     a, b = "a b c d e f g h", "p q r s t u v w x y z"
